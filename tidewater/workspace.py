@@ -40,3 +40,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the executors' Python workers this package, for drivers that run from a checkout and not an installed package."""
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_tidewater_shipped", False):
+        return spark
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tidewater-package-")) / "tidewater.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, str(file.relative_to(root.parent)))
+    context.addPyFile(str(archive))
+    context._tidewater_shipped = True
+    return spark
