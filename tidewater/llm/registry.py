@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import op2_token_counts, op7_token_binary, op8_packing, op10_bpe_codec
+from tidewater.llm import op2_token_counts, op3_quality_rules, op5_language_id, op7_token_binary, op8_packing, op10_bpe_codec
 from tidewater.llm.pieces import public_vocabulary
+from tidewater.workspace import ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op2_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_token_counts.token_counts(table(spark, sf_dir, "documents"), public_vocabulary())
 
 
+def op3_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_quality_rules.quality(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_language_id.identify_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_token_binary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_token_binary.token_files(table(spark, sf_dir, "documents"), public_vocabulary())
 
@@ -30,6 +39,8 @@ def op10_bpe_codec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_token_counts": op2_token_counts_query,
+    "op3_quality_rules": op3_quality_rules_query,
+    "op5_language_id": op5_language_id_query,
     "op7_token_binary": op7_token_binary_query,
     "op8_packing": op8_packing_query,
     "op10_bpe_codec": op10_bpe_codec_query,
