@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from tidewater.llm import pieces as P
 from tidewater.llm.words import BLANKS, IS_BLANK, WordNumbers, per_text, words
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_upper", "n_letters", "n_shouts")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_upper", "n_letters", "n_shouts", "n_stutters")
 #: Name -> SQL condition that a failing text meets; a rule's bit is its place. The first two are the base rules.
 RULES = {
     "few_words": "n_words < 20",
@@ -28,6 +28,7 @@ RULES = {
     "duplicate_lines": "n_lines >= 4 and 10 * n_dup_lines > 5 * n_lines",
     "upper_case": "n_letters >= 20 and 10 * n_upper > 6 * n_letters",
     "shouting": "10 * n_shouts > 4 * n_words",
+    "stutter": "10 * n_stutters > 3 * n_words",
     "short_words": "word_chars < 2 * n_words",
     "long_words": "word_chars > 20 * n_words",
 }
@@ -85,6 +86,9 @@ class Measurer:
             full = [x for x in body[a:b].split(b"\n") if x.strip(BLANKS)]
             lines.append(len(full))
             dup.append(len(full) - len(set(full)))
+        again = np.zeros(len(code), bool)
+        again[1:] = code[1:] == code[:-1]
+        again[found.bounds[:-1][np.diff(found.bounds) > 0]] = False
         ends = data[found.at + found.length - 1] if len(found.at) else np.zeros(0, np.uint8)
         return [
             np.diff(found.bounds),
@@ -96,6 +100,7 @@ class Measurer:
             per_text(upper, offsets),
             per_text(upper | ((data >= 97) & (data <= 122)), offsets),
             per_text(ends == 33, found.bounds),
+            per_text(again, found.bounds),
         ]
 
 

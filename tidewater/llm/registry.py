@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import op2_token_counts, op3_quality_rules, op5_language_id, op7_token_binary, op8_packing, op10_bpe_codec
+from tidewater.llm import (
+    op1_line_dedup,
+    op2_token_counts,
+    op3_quality_rules,
+    op4_url_filter,
+    op5_language_id,
+    op7_token_binary,
+    op8_packing,
+    op10_bpe_codec,
+)
 from tidewater.llm.pieces import public_vocabulary
 from tidewater.workspace import ship
 
@@ -13,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return op1_line_dedup.dedup_lines(docs)
+
+
 def op2_token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_token_counts.token_counts(table(spark, sf_dir, "documents"), public_vocabulary())
 
@@ -21,6 +35,10 @@ def op3_quality_rules_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op5_language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_language_id.identify_documents(table(spark, sf_dir, "documents"))
 
@@ -38,8 +56,10 @@ def op10_bpe_codec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup_query,
     "op2_token_counts": op2_token_counts_query,
     "op3_quality_rules": op3_quality_rules_query,
+    "op4_url_filter": op4_url_filter_query,
     "op5_language_id": op5_language_id_query,
     "op7_token_binary": op7_token_binary_query,
     "op8_packing": op8_packing_query,
