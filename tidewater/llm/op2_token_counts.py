@@ -64,7 +64,7 @@ class CountTransducer:
 class CountTable(P.PieceSlots):
     """Token counts of the pieces met so far."""
 
-    def __init__(self, transducer: CountTransducer, capacity: int = 1_500_000):
+    def __init__(self, transducer: CountTransducer, capacity: int = 1_000_000):
         self.transducer = transducer
         super().__init__(capacity)
 
@@ -88,7 +88,7 @@ class Counter:
         """Bytes and tokens of each row."""
         data, offsets = P.buffers(column)
         out = [np.zeros(0, np.int64)]
-        for a, b in P.slices(offsets, 4 << 20):
+        for a, b in P.slices(offsets, 2 << 20):
             out.append(self._slice(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
         return np.diff(offsets), np.concatenate(out)
 
@@ -101,8 +101,8 @@ class Counter:
             out = self._plain(data, offsets)
             out[list(special)] = list(special.values())
             return out
-        if len(offsets) == 2 and len(data) > 8 << 20:
-            cuts = P.safe_cuts(data, 4 << 20)
+        if len(offsets) == 2 and len(data) > 4 << 20:
+            cuts = P.safe_cuts(data, 2 << 20)
             return np.array([sum(int(self._plain(data[a:b], np.array([0, b - a]))[0]) for a, b in zip(cuts, cuts[1:], strict=False))])
         return self._plain(data, offsets)
 

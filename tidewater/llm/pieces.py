@@ -194,7 +194,7 @@ class PieceSlots:
 
     BITS = 22
 
-    def __init__(self, capacity: int = 1_500_000):
+    def __init__(self, capacity: int = 1_000_000):
         self.capacity = capacity
         self.clear()
 

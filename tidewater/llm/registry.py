@@ -12,6 +12,7 @@ from tidewater.llm import (
     op5_language_id,
     op7_token_binary,
     op8_packing,
+    op9_minhash,
     op10_bpe_codec,
 )
 from tidewater.llm.pieces import public_vocabulary
@@ -51,6 +52,10 @@ def op8_packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op8_packing.pack(table(spark, sf_dir, "documents"), public_vocabulary())
 
 
+def op9_minhash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op10_bpe_codec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_bpe_codec.round_trip(table(spark, sf_dir, "documents"), public_vocabulary())
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op5_language_id": op5_language_id_query,
     "op7_token_binary": op7_token_binary_query,
     "op8_packing": op8_packing_query,
+    "op9_minhash": op9_minhash_query,
     "op10_bpe_codec": op10_bpe_codec_query,
 }
 

@@ -9,13 +9,13 @@ import pyarrow as pa
 
 from tidewater.llm import pieces as P
 
-SLICE = 4 << 20  # bytes of text handled at once
+SLICE = 2 << 20  # bytes of text handled at once
 
 
 class PieceTable(P.PieceSlots):
     """Ids of the pieces met so far, in flat arrays."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], capacity: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], capacity: int = 1_000_000):
         self.encode = encode
         super().__init__(capacity)
 
