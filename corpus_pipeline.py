@@ -1,15 +1,65 @@
-"""The training-corpus pipeline; its stages follow as their operators land."""
+"""The training-corpus pipeline over ``documents``: five stages, each one operator of ``tidewater.llm``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``. A
+stage's result is written as Parquet in the shared folder and read again as the next one's input, so each stage is
+computed once and a lost executor costs a reread.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.llm import op1_line_dedup, op3_quality_rules, op5_language_id, op8_packing, op9_minhash
+from tidewater.llm.pieces import public_vocabulary
+from tidewater.workspace import ship, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents whose language is one the corpus declares; texts that no such language explains go."""
+    ship(spark)
+    return op5_language_id.keep_identified(docs)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that pass every rule of the policy."""
+    ship(spark)
+    return op3_quality_rules.ledger(docs).where(op3_quality_rules.kept("v2")).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Delete later repeats of runs of lines of 50 words or more; a document that had only such lines goes."""
+    out = op1_line_dedup.dedup_lines(docs).where((F.col("lines_deleted") == 0) | F.col("text").rlike(op1_line_dedup.WORD))
+    return out.withColumn("n_chars", F.when(F.col("lines_deleted") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, the one of smallest id, of every group of near-duplicates (five words, similarity 0.8)."""
+    ship(spark)
+    kept = op9_minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boundary records of the packed sequences of 1024 tokens."""
+    ship(spark)
+    return op8_packing.pack(docs, public_vocabulary())
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("packing", packing),
+]
+#: SQL can't express byte-pair encoding; the tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table; the result is that of the last stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
