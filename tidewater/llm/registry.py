@@ -10,6 +10,7 @@ from tidewater.llm import (
     op3_quality_rules,
     op4_url_filter,
     op5_language_id,
+    op6_topk_search,
     op7_token_binary,
     op8_packing,
     op9_minhash,
@@ -44,6 +45,10 @@ def op5_language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_language_id.identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_topk_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_binary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_token_binary.token_files(table(spark, sf_dir, "documents"), public_vocabulary())
 
@@ -66,10 +71,11 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules_query,
     "op4_url_filter": op4_url_filter_query,
     "op5_language_id": op5_language_id_query,
+    "op6_topk_search": op6_topk_search_query,
     "op7_token_binary": op7_token_binary_query,
     "op8_packing": op8_packing_query,
     "op9_minhash": op9_minhash_query,
     "op10_bpe_codec": op10_bpe_codec_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_topk_search": op6_topk_search.ORACLE_SQL}
