@@ -10,6 +10,11 @@ WORD = r"[\p{L}\p{N}_]"
 MARKED, PLAIN = "ąćęłńóśźżáàâäãåçéèêëíìîïñòôöõúùûüýÿßœæ", "acelnoszzaaaaaaceeeeiiiinoooouuuuyyssoa"
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row: inside a lambda, a plain expression would be computed per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column, least: int = 1) -> Column:
     """Lower-cased runs of at least ``least`` letters, digits or underscores."""
     return F.regexp_extract_all(F.lower(text), F.lit(f"{WORD}{{{least},}}"), 0)
@@ -27,8 +32,8 @@ def squeeze(text: Column) -> Column:
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Character n-grams of the text with an underscore on both sides."""
-    padded = F.concat(F.lit("_"), text, F.lit("_"))
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, n))
+    grams = lambda p: F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), lambda i: F.substring(p, i, n))
+    return let(F.concat(F.lit("_"), text, F.lit("_")), grams)
 
 
 def snippet(text: Column, needle: Column, around: int = 60) -> Column:
