@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.plans import reports, retrieval, timeline  # noqa: F401  plan modules register on import
+from tidewater.plans import archive, graph, reports, retrieval, timeline  # noqa: F401  plan modules register on import
 from tidewater.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -164,22 +164,22 @@ def noisy_or(spark, sf_dir):
 
 @query(
     "isotonic",
-    """SELECT event_id, round(CASE WHEN x <= 0 THEN 0.05 WHEN x <= 0.2 THEN 0.05 + x * (0.25 / 0.2) WHEN x <= 0.6 THEN 0.3 + (x - 0.2) * (0.4 / 0.4) WHEN x <= 1 THEN 0.7 + (x - 0.6) * (0.25 / 0.4) ELSE 0.95 END::DOUBLE, 4) AS calibrated FROM (SELECT event_id, CAST(value / 100 AS DOUBLE) AS x FROM events)""",
+    """SELECT event_id, round(CASE WHEN x <= 0 THEN 0.05 WHEN x <= 0.2 THEN 0.05::DOUBLE + x * (0.25::DOUBLE / 0.2::DOUBLE) WHEN x <= 0.6 THEN 0.3::DOUBLE + (x - 0.2::DOUBLE) * 1.0::DOUBLE WHEN x <= 1 THEN 0.7::DOUBLE + (x - 0.6::DOUBLE) * 0.625::DOUBLE ELSE 0.95 END::DOUBLE, 9) AS calibrated FROM (SELECT event_id, CAST(value / 100 AS DOUBLE) AS x FROM events)""",
 )
 def isotonic(spark, sf_dir):
     x = F.col("value") / 100
-    return _t(spark, sf_dir, "events").select("event_id", F.round(R.isotonic(x, [(0.0, 0.05), (0.2, 0.3), (0.6, 0.7), (1.0, 0.95)]), 4).alias("calibrated"))
+    return _t(spark, sf_dir, "events").select("event_id", F.round(R.isotonic(x, [(0.0, 0.05), (0.2, 0.3), (0.6, 0.7), (1.0, 0.95)]), 9).alias("calibrated"))
 
 
 @query(
     "conflicts",
-    """WITH c AS (SELECT o_custkey AS subject, o_orderstatus AS value, CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END AS rank, o_orderdate AS at, o_orderkey AS id FROM orders)
- SELECT subject, count(DISTINCT value) AS n_values, count(*) AS claims, arg_max(value, (rank, at, id)) AS winner, arg_max(id, (rank, at, id)) AS winner_id FROM c GROUP BY 1 HAVING count(DISTINCT value) > 1""",
+    """WITH c AS (SELECT o_custkey AS subject, o_orderstatus AS value, CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END AS rank, o_orderdate AS made, o_orderkey AS id FROM orders)
+ SELECT subject, count(DISTINCT value) AS n_values, count(*) AS claims, arg_max(value, (rank, made, id)) AS winner, arg_max(id, (rank, made, id)) AS winner_id FROM c GROUP BY 1 HAVING count(DISTINCT value) > 1""",
 )
 def conflicts(spark, sf_dir):
     rank = F.when(F.col("o_orderpriority") == "1-URGENT", 3).when(F.col("o_orderpriority") == "2-HIGH", 2).otherwise(1)
-    c = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderstatus").alias("value"), rank.alias("rank"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("id"))
-    return R.conflicts(c, ["subject"], "value", "rank", "at", "id")
+    c = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderstatus").alias("value"), rank.alias("rank"), F.col("o_orderdate").alias("made"), F.col("o_orderkey").alias("id"))
+    return R.conflicts(c, ["subject"], "value", "rank", "made", "id")
 
 
 _PREDICTED = "SELECT l.*, d.lang, CASE WHEN d.doc_id % 11 = 0 THEN NULL WHEN d.n_chars >= 1000 THEN 1 ELSE 0 END AS p FROM labels l JOIN documents d USING (doc_id)"
