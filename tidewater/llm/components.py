@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.shingles import mix
 from tidewater.workspace import materialize
 
 EDGE = "u long, v long"
@@ -53,23 +55,34 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield edges()
 
 
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a partition and an order-independent sum over them."""
+    rows = total = 0
+    for batch in batches:
+        u, v = (batch.column(k).to_numpy().astype(np.uint64) for k in (0, 1))
+        rows += len(u)
+        total = (total + int(mix(mix(u) + v).sum(dtype=np.uint64))) % 2**64
+    yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([total - 2**63])], ["rows", "total"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (u, v): root is the smallest node reachable.
+    """(node, root) for every node of the edges (u, v) that isn't its own root: root is the smallest node reachable.
 
     Partition-wise union-find leaves one edge per node and partition. Alternating large and small stars then reroot every
-    node at its smallest neighbour until nothing changes: a logarithmic number of rounds, each stored in the shared folder.
+    node at its smallest neighbour until nothing changes: a logarithmic number of rounds of two exchanges, each stored in
+    the shared folder; of every round the driver sees two numbers per partition.
     """
-    now = materialize(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_forest, EDGE).distinct())
+    now = materialize(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_forest, EDGE))
     seen = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        down = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u")
         lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        now = materialize(small.where("u <> v").distinct())
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        small = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lowest.select("u", F.col("m").alias("v")))
+        now = materialize(small.mapInArrow(_forest, EDGE))
+        parts = now.mapInArrow(_digest, "rows long, total long").collect()
+        state = (sum(p.rows for p in parts), sum(p.total for p in parts))
         if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()
         seen = state

@@ -6,8 +6,7 @@ estimate, and once every lane of a text is filled no later step can lower any, s
 
 Documents with equal shingle sets are one class, represented by its smallest id, so exact copies never meet in pairs.
 Representatives that agree in all rows of a band are candidates. In each bucket they are compared with one pivot, not with
-each other; buckets that still hold several components get a new pivot, the member with most links, until nothing new is
-left to compare. Pairs of different components that still share a bucket are then compared, in small buckets one by one
+each other; buckets that still hold several components get a new pivot, the member with most links. Pairs of different components that still share a bucket are then compared, in small buckets one by one
 and in large ones block against block, so no link between different texts is lost and no list of all pairs is made.
 """
 
@@ -201,7 +200,8 @@ def large_rest(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     big = mixed.where(F.col("size") > SMALL)
     clusters = components(big.select(F.col("label").alias("u"), F.col("low").alias("v")))
-    clustered = materialize(big.select("rep", "label").distinct().join(clusters.select(F.col("node").alias("label"), F.col("root").alias("cluster")), "label"))
+    clustered = big.select("rep", "label").distinct().join(clusters.select(F.col("node").alias("label"), F.col("root").alias("cluster")), "label", "left")
+    clustered = materialize(clustered.withColumn("cluster", F.coalesce("cluster", "label")))
     per_label = clustered.groupBy("cluster", "label").agg(F.count("*").alias("c")).withColumn("own", F.when(F.col("c") >= BLOCK, F.col("label")))
     pools = per_label.groupBy("cluster", "own").agg(F.ceil(F.sum("c") / BLOCK).cast("long").alias("blocks"))
     placed = clustered.join(per_label, ["cluster", "label"]).join(pools.withColumnRenamed("own", "pool"), ["cluster"]).where(F.col("own").eqNullSafe(F.col("pool")))
@@ -247,7 +247,7 @@ def block_links(one: list[dict], two: list[dict], percent: int, columns: int = 4
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, lanes: int = LANES, rows: int = ROWS, hub_rounds: int = 4,
+    docs: DataFrame, shingle: int = 5, percent: int = 80, lanes: int = LANES, rows: int = ROWS, hub_rounds: int = 1,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Component of every row: doc_id, n_shingles, component_id (the smallest id reachable by links), kept.
