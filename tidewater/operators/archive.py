@@ -65,7 +65,10 @@ def html_text(pages: DataFrame, id_col: str, html: str) -> DataFrame:
 
 def entities(docs: DataFrame, patterns: dict[str, str], id_col: str, text: str) -> DataFrame:
     """(id, kind, lower-cased value) of every pattern, each once; a group in the pattern is the value."""
-    found = F.concat(*[F.transform(F.regexp_extract_all(F.col(text), F.lit(p), int("(" in p)), lambda v, k=k: F.struct(F.lit(k).alias("kind"), F.lower(v).alias("value"))) for k, p in patterns.items()])
+    def every(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), int("(" in pattern)), lambda v: F.struct(F.lit(kind).alias("kind"), F.lower(v).alias("value")))
+
+    found = F.concat(*[every(k, p) for k, p in patterns.items()])
     return docs.select(id_col, F.explode(F.array_distinct(found)).alias("e")).select(id_col, "e.kind", "e.value")
 
 
@@ -85,7 +88,8 @@ def relations(docs: DataFrame, pattern: str, id_col: str, text: str) -> DataFram
 def language_by_stops(docs: DataFrame, stops: dict[str, list[str]], id_col: str, text: str) -> DataFrame:
     """Language with most stop-word hits; ties by the order of the table, none: unknown."""
     t = fx.tokens(F.col(text))
-    counts = docs.select(id_col, *[F.size(F.filter(t, lambda x, ws=ws: x.isin(*ws))).alias(k) for k, ws in stops.items()])
+    hits = lambda ws: F.size(F.filter(t, lambda x: x.isin(*ws)))
+    counts = docs.select(id_col, *[hits(ws).alias(k) for k, ws in stops.items()])
     most = F.greatest(*stops)
     best = reduce(lambda out, k: F.when(F.col(k) == most, k).otherwise(out), reversed(list(stops)), F.lit(None))
     return counts.select(id_col, F.when(most == 0, "unknown").otherwise(best).alias("language"))
@@ -118,7 +122,8 @@ def glob(text: Column, pattern: str) -> Column:
 def trigram_pairs(names: DataFrame, name: str) -> DataFrame:
     """Jaccard similarity of the character trigrams of all pairs that share one, through an inverted index."""
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - 2), lambda i: F.substring(F.col(name), i, 3)))
-    listed = names.where(F.length(name) >= 3).select(F.col(name).alias("a"), F.size(grams).alias("na"), F.explode(grams).alias("g"))
+    gramed = names.where(F.length(name) >= 3).select(F.col(name).alias("_name"), grams.alias("_g"))
+    listed = gramed.select(F.col("_name").alias("a"), F.size("_g").alias("na"), F.explode("_g").alias("g"))
     other = listed.select(F.col("a").alias("b"), F.col("na").alias("nb"), "g")
     shared = listed.join(other, "g").where("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("s"))
     return shared.select("a", "b", F.round(F.col("s") / (F.col("na") + F.col("nb") - F.col("s")), 6).alias("jaccard"))

@@ -105,7 +105,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
 
 def tree_paths(nodes: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame:
     """Root-to-node paths as arrays; roots have no parent in the table."""
-    base = nodes.select(node, parent)
+    base = materialize(nodes.select(node, parent))  # as stored columns: derived ones would be inlined round after round
     roots = base.join(base.select(F.col(node).alias("_p")), base[parent] == F.col("_p"), "left_anti")
     level = materialize(roots.select(node, F.array(node).alias("path")))
     out = level

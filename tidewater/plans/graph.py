@@ -130,7 +130,7 @@ def upsert_links(spark, sf_dir):
 
 @query(
     "tree_paths",
-    """WITH RECURSIVE e AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_partkey - 1 - p_partkey % 3 % 2 END AS p FROM part WHERE p_partkey < 400), k AS (SELECT n, CASE WHEN p // 10 = n // 10 THEN p END AS p FROM e),
+    """WITH RECURSIVE e AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_partkey - 1 - p_partkey % 3 % 2 END AS p FROM part WHERE p_partkey < 400), k AS (SELECT n, CASE WHEN p >= 0 AND p // 10 = n // 10 THEN p END AS p FROM e),
  r(n, path) AS (SELECT n, [n] FROM k WHERE p IS NULL UNION ALL SELECT k.n, list_append(r.path, k.n) FROM k JOIN r ON k.p = r.n) SELECT n, len(path)::INTEGER AS depth, array_to_string(path, '/') AS path FROM r""",
 )
 def tree_paths(spark, sf_dir):
