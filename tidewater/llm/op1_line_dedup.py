@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.functions.text import let
+
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
 _FIRST_ID = -(2**63)
@@ -96,7 +98,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     split = F.split(text_col, "\n")
     end = F.element_at("runs", -1)["last"]
     gaps = F.transform("runs", lambda r, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("runs"), i - 1)["last"] + 1).alias("at"), r["first"].alias("to")))
-    kept = F.flatten(F.concat(F.transform(gaps, lambda g: F.slice(split, g["at"] + 1, g["to"] - g["at"])), F.array(F.slice(split, end + 2, F.size(split)))))
+    kept = let(split, lambda own: F.flatten(F.concat(F.transform(gaps, lambda g: F.slice(own, g["at"] + 1, g["to"] - g["at"])), F.array(F.slice(own, end + 2, F.size(own))))))
     gone = F.aggregate("runs", F.lit(0), lambda n, r: n + r["last"] - r["first"] + 1)
     joined = docs.select("*", *_row_key(id_col, text_col)).join(runs, ["d", "t"], "left")
     return joined.withColumns(
