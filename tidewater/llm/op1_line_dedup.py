@@ -108,3 +108,22 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
             "lines_deleted": F.coalesce(F.when(F.col("runs").isNotNull(), gone), F.lit(0)),
         }
     ).select(*docs.columns, "lines_total", "lines_deleted")
+
+
+def oracle_sql(min_words: int = MIN_WORDS) -> str:
+    """DuckDB twin of :func:`dedup_lines` over ``documents(doc_id, text)`` with unique ids."""
+    frame = "(PARTITION BY doc_id ORDER BY {0} RANGE BETWEEN {1})"
+    right, left = frame.format("s", f"CURRENT ROW AND {min_words - 1} FOLLOWING"), frame.format("e", f"{min_words - 1} PRECEDING AND CURRENT ROW")
+    reach = lambda w: f"list(line) OVER {w} AS content, min(o) OVER {w} AS a, max(o) OVER {w} AS b, max(e) OVER {w} - min(s) OVER {w} AS words"
+    return rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS p FROM documents),
+ n AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l),
+ k AS (SELECT doc_id, line, p, n, sum(n) OVER q AS e, sum(n) OVER q - n AS s, row_number() OVER q AS o FROM n WHERE n > 0 WINDOW q AS (PARTITION BY doc_id ORDER BY p)),
+ w AS (SELECT DISTINCT doc_id, content, a, b FROM (SELECT doc_id, {reach(right)} FROM k UNION ALL SELECT doc_id, {reach(left)} FROM k) WHERE words >= {min_words}),
+ x AS (SELECT doc_id, a, b FROM w QUALIFY row_number() OVER (PARTITION BY content ORDER BY doc_id, a) > 1),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS o FROM x),
+ marked AS (SELECT n.doc_id, n.p, n.line, n.n, coalesce(sum(CASE WHEN n.n > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY n.doc_id ORDER BY n.p), 0) AS o FROM n),
+ f AS (SELECT m.*, g.o IS NOT NULL AND (m.n > 0 OR h.o IS NOT NULL) AS del FROM marked m LEFT JOIN gone g ON g.doc_id = m.doc_id AND g.o = m.o LEFT JOIN gone h ON h.doc_id = m.doc_id AND h.o = m.o + 1),
+ r AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT del), '') AS text, count(*)::INTEGER AS lines_total, (count(*) FILTER (del))::INTEGER AS lines_deleted FROM f GROUP BY 1)
+SELECT doc_id, CASE WHEN lines_deleted > 0 THEN r.text ELSE d.text END AS text, coalesce(lines_total, 0)::INTEGER AS lines_total, coalesce(lines_deleted, 0)::INTEGER AS lines_deleted FROM documents d LEFT JOIN r USING (doc_id)
+"""

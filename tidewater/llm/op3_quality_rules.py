@@ -169,3 +169,24 @@ def quality(docs: DataFrame, policy: str = "v2", id_col: str = "doc_id", text_co
     base = F.col("ledger")["failures"].bitwiseAND(F.lit(mask("v1"))) != 0
     columns = [F.col("ledger")[m].alias(m) for m in (*MEASURES, "failures")]
     return ledger(slim).select("doc_id", *columns, base.alias("base_failed"), kept(policy).alias("kept"))
+
+
+def oracle_sql(policy: str = "v2") -> str:
+    """DuckDB twin of :func:`quality` over ``documents``."""
+    failures = " + ".join(f"CASE WHEN {condition} THEN {bit(rule)} ELSE 0 END" for rule, condition in RULES.items())
+    ahead = ", ".join(f"lead(word, {k}) OVER o" for k in range(1, WINDOW))
+    many = lambda pattern: f"len(regexp_extract_all(text, '{pattern}'))"
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+ l AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM t),
+ g AS (SELECT doc_id, i, concat_ws(chr(1), word, {ahead}) AS g, lead(i, {WINDOW - 1}) OVER o AS past, word = lag(word) OVER o AS again, word LIKE '%!' AS shout FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+ r AS (SELECT doc_id, i FROM g WHERE past IS NOT NULL QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+ c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r CROSS JOIN range({WINDOW}) k(k) GROUP BY 1),
+ s AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (shout) AS n_shouts, count(*) FILTER (again) AS n_stutters FROM g GROUP BY 1),
+ d AS (SELECT doc_id, count(*) AS n, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+ m AS (SELECT doc_id, coalesce(s.n_words, 0) AS n_words, {many(r"[^\x20\x09-\x0D]")} AS word_chars, {many("[#*$%&|<>]")} AS n_symbols, coalesce(d.dup, 0) AS n_dup_lines, coalesce(d.n, 0) AS n_lines,
+  coalesce(c.n, 0) AS n_repeat_words, {many("[A-Z]")} AS n_upper, {many("[A-Za-z]")} AS n_letters, coalesce(n_shouts, 0) AS n_shouts, coalesce(n_stutters, 0) AS n_stutters
+  FROM t LEFT JOIN s USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN d USING (doc_id)),
+ f AS (SELECT *, CAST({failures} AS BIGINT) AS failures FROM m)
+SELECT *, failures & {mask("v1")} <> 0 AS base_failed, failures & {mask(policy)} = 0 AS kept FROM f
+"""

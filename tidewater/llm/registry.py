@@ -78,4 +78,8 @@ QUERIES = {
     "op10_bpe_codec": op10_bpe_codec_query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_topk_search": op6_topk_search.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": op1_line_dedup.oracle_sql(),
+    "op3_quality_rules": op3_quality_rules.oracle_sql(),
+    "op6_topk_search": op6_topk_search.ORACLE_SQL,
+}
