@@ -109,3 +109,32 @@ def filter_urls(
         F.coalesce(F.col("fit.verdict"), F.when(bad, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         "trust", "distrust",
     )
+
+
+def oracle_sql(rules: tuple[Rule, ...] = RULES, damping: float = 0.85, rounds: int = 8, threshold: float = 0.1) -> str:
+    """DuckDB twin of :func:`filter_urls` over ``pages``: the rounds unrolled."""
+    rest = "CASE WHEN instr({0}, '://') > 0 THEN substring({0}, instr({0}, '://') + 3) ELSE '' END"
+    host = lambda url: f"coalesce(translate(regexp_extract({rest.format(url)}, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '')"
+    path = f"coalesce(regexp_extract({rest.format('url')}, '^[^/?#]*([^?#]*)', 1), '')"
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    longest = sorted(rules, key=lambda r: (len(r.text), r.text), reverse=True)
+    pick = lambda what: "CASE " + " ".join(f"WHEN {fits(r)} THEN '{getattr(r, what)}'" for r in longest) + " END"
+    steps = "".join(
+        f""" s{k} AS (SELECT side, host, round(sum(score), 9) AS score FROM (SELECT side, b AS host, score * share * {damping} AS score FROM s{k - 1} JOIN share ON share.side = s{k - 1}.side AND a = host
+   UNION ALL SELECT side, host, {1 - damping} FROM s0) GROUP BY 1, 2),\n""".replace("SELECT side, b", f"SELECT s{k - 1}.side, b")
+        for k in range(1, rounds + 1)
+    )
+    return rf"""
+WITH h AS (SELECT page_id, html, {host("url")} AS host, {path} AS path FROM pages),
+ j AS (SELECT *, {pick("text")} AS rule, {pick("verdict")} AS judged FROM h),
+ n AS (SELECT host, count(*) AS n, count(*) FILTER (judged = 'allow') AS a, count(*) FILTER (judged = 'block') AS b FROM j WHERE host <> '' GROUP BY 1),
+ s0 AS (SELECT CASE WHEN a > b THEN {TRUST} ELSE {DISTRUST} END AS side, host, 1.0::DOUBLE AS score FROM n WHERE a > b OR (b > a AND 2 * b >= n)),
+ links AS (SELECT host AS src, unnest(regexp_extract_all(html, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+://[^"''\s>]*)', 1)) AS link FROM h),
+ one AS (SELECT src, {host("link")} AS dst FROM links),
+ edge AS (SELECT src, dst, count(*) AS n FROM one WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY 1, 2),
+ arcs AS (SELECT {TRUST} AS side, src AS a, dst AS b, n FROM edge UNION ALL SELECT {DISTRUST}, dst, src, n FROM edge),
+ share AS (SELECT side, a, b, n / sum(n) OVER (PARTITION BY side, a) AS share FROM arcs),
+{steps} t AS (SELECT host, coalesce(max(score) FILTER (side = {TRUST}), 0.0)::DOUBLE AS trust, coalesce(max(score) FILTER (side = {DISTRUST}), 0.0)::DOUBLE AS distrust FROM s{rounds} GROUP BY 1)
+SELECT page_id, host, path, rule, coalesce(judged, CASE WHEN distrust >= {threshold} AND distrust > trust THEN 'block' ELSE 'allow' END) AS verdict, coalesce(trust, 0.0)::DOUBLE AS trust, coalesce(distrust, 0.0)::DOUBLE AS distrust
+FROM j LEFT JOIN t USING (host)
+"""

@@ -81,5 +81,6 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op1_line_dedup": op1_line_dedup.oracle_sql(),
     "op3_quality_rules": op3_quality_rules.oracle_sql(),
+    "op4_url_filter": op4_url_filter.oracle_sql(),
     "op6_topk_search": op6_topk_search.ORACLE_SQL,
 }
