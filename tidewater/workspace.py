@@ -35,6 +35,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compacted(df: DataFrame, rows: int = 100_000) -> tuple[DataFrame, int]:
+    """Like :func:`materialize`, with as few partitions as about ``rows`` rows each need, and the number of rows."""
+    out = materialize(df)
+    n = out.count()
+    return out.coalesce(max(1, -(-n // rows))), n
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Like :func:`materialize`, as a compressed Parquet table, for wide rows."""
     path = new_path(df.sparkSession, name)
