@@ -64,7 +64,7 @@ def test_blocks_find_what_pivots_leave(spark, docs, monkeypatch):
     monkeypatch.setattr(M, "SMALL", 2)
     monkeypatch.setattr(M, "BLOCK", 8)
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in M.near_duplicates(df, 2, hub_rounds=0).collect()}
+    got = {r.doc_id: r.component_id for r in M.near_duplicates(df, 2).collect()}
     assert got == {i: c for i, (_, c) in brute(docs, 2).items()}
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.shingles import mix
-from tidewater.workspace import materialize
+from tidewater.workspace import compacted, materialize
 
 EDGE = "u long, v long"
 
@@ -65,6 +65,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([rows]), pa.array([total - 2**63])], ["rows", "total"])
 
 
+ROWS = 100_000  # of a partition, at most about
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v) that isn't its own root: root is the smallest node reachable.
 
@@ -72,7 +75,9 @@ def components(edges: DataFrame) -> DataFrame:
     node at its smallest neighbour until nothing changes: a logarithmic number of rounds of two exchanges, each stored in
     the shared folder; of every round the driver sees two numbers per partition.
     """
-    now = materialize(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_forest, EDGE))
+    now, rows = compacted(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_forest, EDGE), ROWS)
+    if not rows:
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
@@ -82,7 +87,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lowest.select("u", F.col("m").alias("v")))
         now = materialize(small.mapInArrow(_forest, EDGE))
         parts = now.mapInArrow(_digest, "rows long, total long").collect()
-        state = (sum(p.rows for p in parts), sum(p.total for p in parts))
+        rows = sum(p.rows for p in parts)
+        now = now.coalesce(max(1, -(-rows // ROWS)))
+        state = (rows, sum(p.total + 2**63 for p in parts) % 2**64)
         if state == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct()
+            return compacted(now.select(F.col("u").alias("node"), F.col("v").alias("root")).distinct())[0]
         seen = state

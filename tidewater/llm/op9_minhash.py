@@ -6,7 +6,7 @@ estimate, and once every lane of a text is filled no later step can lower any, s
 
 Documents with equal shingle sets are one class, represented by its smallest id, so exact copies never meet in pairs.
 Representatives that agree in all rows of a band are candidates. In each bucket they are compared with one pivot, not with
-each other; buckets that still hold several components get a new pivot, the member with most links. Pairs of different components that still share a bucket are then compared, in small buckets one by one
+each other. Pairs of different components that still share a bucket are then compared, in small buckets one by one
 and in large ones block against block, so no link between different texts is lost and no list of all pairs is made.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidewater.llm import pieces as P
 from tidewater.llm.components import UnionFind, components
 from tidewater.llm.shingles import mix, shingle_sets
-from tidewater.workspace import materialize, written
+from tidewater.workspace import compacted, materialize, written
 
 LANES, ROWS = 160, 5
 _FIRST_ID = -(2**63)
@@ -163,16 +163,6 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.select(F.col("node").alias("rep"), F.col("root").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
 
 
-def hub_pairs(members: DataFrame, links: DataFrame, labels: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """In buckets of several components: members of other components with the member that has most links; not yet tested."""
-    ends = links.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
-    known = _labelled(members, labels).join(ends, "rep", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    hub = F.max(F.struct("degree", (-F.col("rep")).alias("low"), F.col("rep").alias("hub"), F.col("label").alias("hub_label"), F.col("n").alias("m")))
-    buckets = known.groupBy("key").agg(hub.alias("h"), F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 <> l2").select("key", "h.*")
-    open_members = known.drop("degree").join(buckets, "key").where((F.col("label") != F.col("hub_label")) & _sized(percent))
-    return _ordered(open_members.select(F.col("rep").alias("u"), F.col("hub").alias("v"))).join(tested, ["u", "v"], "left_anti")
-
-
 SMALL, BLOCK = 16, 256
 
 
@@ -201,7 +191,7 @@ def large_rest(mixed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     big = mixed.where(F.col("size") > SMALL)
     clusters = components(big.select(F.col("label").alias("u"), F.col("low").alias("v")))
     clustered = big.select("rep", "label").distinct().join(clusters.select(F.col("node").alias("label"), F.col("root").alias("cluster")), "label", "left")
-    clustered = materialize(clustered.withColumn("cluster", F.coalesce("cluster", "label")))
+    clustered, _ = compacted(clustered.withColumn("cluster", F.coalesce("cluster", "label")))
     per_label = clustered.groupBy("cluster", "label").agg(F.count("*").alias("c")).withColumn("own", F.when(F.col("c") >= BLOCK, F.col("label")))
     pools = per_label.groupBy("cluster", "own").agg(F.ceil(F.sum("c") / BLOCK).cast("long").alias("blocks"))
     placed = clustered.join(per_label, ["cluster", "label"]).join(pools.withColumnRenamed("own", "pool"), ["cluster"]).where(F.col("own").eqNullSafe(F.col("pool")))
@@ -247,7 +237,7 @@ def block_links(one: list[dict], two: list[dict], percent: int, columns: int = 4
 
 
 def near_duplicates(
-    docs: DataFrame, shingle: int = 5, percent: int = 80, lanes: int = LANES, rows: int = ROWS, hub_rounds: int = 1,
+    docs: DataFrame, shingle: int = 5, percent: int = 80, lanes: int = LANES, rows: int = ROWS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """Component of every row: doc_id, n_shingles, component_id (the smallest id reachable by links), kept.
@@ -262,9 +252,9 @@ def near_duplicates(
     classes = signed.where("n > 0").groupBy("a", "b").agg(F.min("d").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
     multi = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = materialize(keyed.join(multi, "key").select("key", "rep", "n"))
+    members, _ = compacted(keyed.join(multi, "key").select("key", "rep", "n"))
     sets = written(full_sets(slim.join(members.select(F.col("rep").alias("d")).distinct(), "d", "left_semi"), shingle), "shingle-sets")
-    links, labels = _link(members, sets, percent, hub_rounds)
+    links, labels = _link(members, sets, percent)
     roots = labels.select(F.col("node").alias("rep"), "root")
     mapped = classes.drop("bands").join(roots, "rep", "left").where("copies > 1 or root is not null").select("a", "b", F.coalesce("root", "rep").alias("component"))
     out = signed.drop("bands").join(mapped, ["a", "b"], "left")
@@ -274,22 +264,19 @@ def near_duplicates(
     return out.select(back("d")("doc_id"), F.col("n").alias("n_shingles"), back("component")("component_id"), (F.col("component") == F.col("d")).alias("kept"))
 
 
-def _link(members: DataFrame, sets: DataFrame, percent: int, hub_rounds: int) -> tuple[DataFrame, DataFrame]:
-    tested = materialize(star_pairs(members, percent))
-    links = materialize(verify(tested, sets, percent))
+def _link(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Verified links between representatives, enough to join all that is linked, and (node, root) of their components."""
+    tested, _ = compacted(star_pairs(members, percent))
+    links, _ = compacted(verify(tested, sets, percent))
     labels = components(links)
-    for _ in range(hub_rounds):
-        pairs = materialize(hub_pairs(members, links, labels, tested, percent))
-        if pairs.isEmpty():
-            break
-        found = materialize(verify(pairs, sets, percent))
-        tested = materialize(tested.unionByName(pairs))
-        if not found.isEmpty():
-            links = materialize(links.unionByName(found))
-            labels = components(links)
-    mixed = materialize(mixed_buckets(members, labels))
-    found = materialize(verify(small_rest(mixed, tested, percent), sets, percent).unionByName(large_rest(mixed, sets, percent)))
-    if not found.isEmpty():
-        links = materialize(links.unionByName(found))
+    mixed, n = compacted(mixed_buckets(members, labels))
+    if not n:
+        return links, labels
+    found = verify(small_rest(mixed, tested, percent), sets, percent)
+    if not mixed.where(F.col("size") > SMALL).isEmpty():
+        found = found.unionByName(large_rest(mixed, sets, percent))
+    found, n = compacted(found)
+    if n:
+        links = links.unionByName(found)
         labels = components(links)
     return links, labels
