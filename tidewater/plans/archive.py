@@ -154,17 +154,17 @@ def stable_ids(spark, sf_dir):
 
 @query(
     "trigram_jaccard",
-    """WITH n AS (SELECT DISTINCT p_name AS a FROM part WHERE p_partkey < 400), g AS (SELECT a, list_distinct(list_transform(range(1, length(a) - 1), lambda i: substring(a, i, 3))) AS g FROM n)
+    """WITH n AS (SELECT DISTINCT p_name AS a FROM part), g AS (SELECT a, list_distinct(list_transform(range(1, length(a) - 1), lambda i: substring(a, i, 3))) AS g FROM n)
  SELECT x.a AS a, y.a AS b, round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 6) AS jaccard FROM g x JOIN g y ON x.a < y.a AND list_has_any(x.g, y.g)""",
 )
 def trigram_jaccard(spark, sf_dir):
-    names = _t(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_name").alias("a")).distinct()
+    names = _t(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
     return A.trigram_pairs(names, "a")
 
 
-@query("split_identifier", r"""SELECT o_orderkey, lower(array_to_string(string_split_regex(o_orderpriority, '[- ]+'), '|')) AS parts FROM orders WHERE o_orderkey < 500""")
+@query("split_identifier", r"""SELECT o_orderkey, lower(array_to_string(string_split_regex(o_orderpriority, '[- ]+'), '|')) AS parts FROM orders""")
 def split_identifier(spark, sf_dir):
-    return _t(spark, sf_dir, "orders").where("o_orderkey < 500").select("o_orderkey", F.lower(F.array_join(F.split("o_orderpriority", "[- ]+"), "|")).alias("parts"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.lower(F.array_join(F.split("o_orderpriority", "[- ]+"), "|")).alias("parts"))
 
 
 @query(
@@ -252,10 +252,10 @@ def set_operations(spark, sf_dir):
     return reduce(lambda x, y: x.unionByName(y), [d.agg(F.count("*").alias("n")).select(F.lit(k).alias("op"), "n") for k, d in parts.items()])
 
 
-@query("full_outer_counts", "SELECT coalesce(c_nationkey, s_nationkey) AS k, c, s FROM (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_custkey % 90 = 0 GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS s FROM supplier WHERE s_suppkey % 4 = 0 GROUP BY 1) ON c_nationkey = s_nationkey")
+@query("full_outer_counts", "SELECT coalesce(c_nationkey, s_nationkey) AS k, c, s FROM (SELECT c_nationkey, count(*) AS c FROM customer WHERE c_acctbal > 9900 GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS s FROM supplier WHERE s_acctbal > 8000 GROUP BY 1) ON c_nationkey = s_nationkey")
 def full_outer_counts(spark, sf_dir):
-    c = _t(spark, sf_dir, "customer").where("c_custkey % 90 = 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("c"))
-    s = _t(spark, sf_dir, "supplier").where("s_suppkey % 4 = 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("s"))
+    c = _t(spark, sf_dir, "customer").where("c_acctbal > 9900").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("c"))
+    s = _t(spark, sf_dir, "supplier").where("s_acctbal > 8000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("s"))
     return c.join(s, "k", "full_outer")
 
 
@@ -311,12 +311,12 @@ def layout_recognition(spark, sf_dir):
 
 @query(
     "money_format",
-    """SELECT o_orderkey, CASE WHEN o_totalprice = 0 THEN '0' WHEN o_totalprice >= 100000 THEN printf('%.0fk', floor(o_totalprice / 1000)) ELSE printf('%.2f', o_totalprice) END AS shown FROM orders WHERE o_orderkey < 1000""",
+    """SELECT o_orderkey, CASE WHEN o_totalprice = 0 THEN '0' WHEN o_totalprice >= 100000 THEN printf('%.0fk', floor(o_totalprice / 1000)) ELSE printf('%.2f', o_totalprice) END AS shown FROM orders""",
 )
 def money_format(spark, sf_dir):
     p = F.col("o_totalprice")
     shown = F.when(p == 0, "0").when(p >= 100_000, F.format_string("%.0fk", F.floor(p / 1000).cast("double"))).otherwise(F.format_string("%.2f", p))
-    return _t(spark, sf_dir, "orders").where("o_orderkey < 1000").select("o_orderkey", shown.alias("shown"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", shown.alias("shown"))
 
 
 @query("glob_match", "SELECT page_id, regexp_matches(regexp_extract(url, '://(.*)$', 1), '^[^/]*[.]example[.]com/.*[.]html$') AS hit FROM pages")

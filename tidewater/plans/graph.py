@@ -130,11 +130,11 @@ def upsert_links(spark, sf_dir):
 
 @query(
     "tree_paths",
-    """WITH RECURSIVE e AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_partkey - 1 - p_partkey % 3 % 2 END AS p FROM part WHERE p_partkey < 400), k AS (SELECT n, CASE WHEN p >= 0 AND p // 10 = n // 10 THEN p END AS p FROM e),
+    """WITH RECURSIVE e AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE p_partkey - 1 - p_partkey % 3 % 2 END AS p FROM part), k AS (SELECT n, CASE WHEN p >= 0 AND p // 10 = n // 10 THEN p END AS p FROM e),
  r(n, path) AS (SELECT n, [n] FROM k WHERE p IS NULL UNION ALL SELECT k.n, list_append(r.path, k.n) FROM k JOIN r ON k.p = r.n) SELECT n, len(path)::INTEGER AS depth, array_to_string(path, '/') AS path FROM r""",
 )
 def tree_paths(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey < 400").select(F.col("p_partkey").alias("n"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("n"))
     up = F.when(F.col("n") % 10 != 0, F.col("n") - 1 - F.col("n") % 3 % 2)
     nodes = part.withColumn("p", F.when(F.floor(up / 10) == F.floor(F.col("n") / 10), up))
     return G.tree_paths(nodes, "n", "p").select("n", F.size("path").alias("depth"), F.array_join("path", "/").alias("path"))
@@ -142,43 +142,43 @@ def tree_paths(spark, sf_dir):
 
 @query(
     "path_proof",
-    """WITH RECURSIVE l AS (SELECT DISTINCT o_custkey % 40 AS s, (o_custkey + o_orderkey) % 40 AS t FROM orders WHERE o_orderdate < TIMESTAMP '1993-06-01' AND o_orderkey % 17 <> 0), k AS (SELECT * FROM l WHERE s <> t AND (s + t) % 5 = 0),
+    """WITH RECURSIVE l AS (SELECT DISTINCT o_custkey % 40 AS s, (o_custkey + o_orderkey) % 40 AS t FROM orders WHERE o_orderdate < TIMESTAMP '1993-06-01' AND o_orderstatus <> 'P'), k AS (SELECT * FROM l WHERE s <> t AND (s + t) % 5 = 0),
  r(path, node) AS (SELECT [s, t], t FROM k WHERE s = 0 UNION ALL SELECT list_append(path, t), t FROM r JOIN k ON node = s WHERE NOT list_contains(path, t) AND len(path) < 4) SELECT array_to_string(path, '>') AS path FROM r WHERE node = 15""",
 )
 def path_proof(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderdate < timestamp_ntz '1993-06-01' and o_orderkey % 17 <> 0")
+    o = table(spark, sf_dir, "orders").where("o_orderdate < timestamp_ntz '1993-06-01' and o_orderstatus <> 'P'")
     l = o.select((F.col("o_custkey") % 40).alias("source"), ((F.col("o_custkey") + F.col("o_orderkey")) % 40).alias("target")).distinct().where("source <> target and (source + target) % 5 = 0")  # noqa: E741
     return G.simple_paths(l, F.col("source") == 0, F.col("node") == 15, 3).select(F.array_join("path", ">").alias("path"))
 
 
 @query(
     "scope_resolution",
-    """WITH v AS (SELECT c_nationkey AS k, 'global' AS level, 'g' AS value FROM customer UNION SELECT c_nationkey, 'segment', CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE min(c_mktsegment) END FROM customer WHERE c_custkey % 9 = 0 GROUP BY c_nationkey, c_mktsegment UNION SELECT s_nationkey, 'supplier', 's' FROM supplier WHERE s_suppkey % 20 = 0)
+    """WITH v AS (SELECT c_nationkey AS k, 'global' AS level, 'g' AS value FROM customer UNION SELECT c_nationkey, 'segment', CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE min(c_mktsegment) END FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey, c_mktsegment UNION SELECT s_nationkey, 'supplier', 's' FROM supplier WHERE s_acctbal > 9000)
  SELECT k, arg_max(value, (list_position(['global', 'segment', 'supplier'], level), value)) AS value, arg_max(level, (list_position(['global', 'segment', 'supplier'], level), value)) AS level FROM v WHERE value IS NOT NULL GROUP BY 1""",
 )
 def scope_resolution(spark, sf_dir):
     c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    segment = c.where("c_custkey % 9 = 0 and c_mktsegment <> 'BUILDING'").select(F.col("c_nationkey").alias("k"), F.lit("segment").alias("level"), F.col("c_mktsegment").alias("value"))
+    segment = c.where("c_acctbal > 9000 and c_mktsegment <> 'BUILDING'").select(F.col("c_nationkey").alias("k"), F.lit("segment").alias("level"), F.col("c_mktsegment").alias("value"))
     every = c.select(F.col("c_nationkey").alias("k"), F.lit("global").alias("level"), F.lit("g").alias("value")).distinct()
-    own = s.where("s_suppkey % 20 = 0").select(F.col("s_nationkey").alias("k"), F.lit("supplier").alias("level"), F.lit("s").alias("value"))
+    own = s.where("s_acctbal > 9000").select(F.col("s_nationkey").alias("k"), F.lit("supplier").alias("level"), F.lit("s").alias("value"))
     return G.scope(every.unionByName(segment.distinct()).unionByName(own.distinct()), "k", "level", ["global", "segment", "supplier"], "value")
 
 
 @query(
     "action_fit",
-    """WITH a(action, needs) AS (VALUES ('restock', ['BUILDING', 'MACHINERY']), ('audit', ['AUTOMOBILE']), ('close', ['BUILDING', 'FURNITURE', 'HOUSEHOLD'])), t AS (SELECT c_nationkey AS k, list_distinct(list(c_mktsegment)) AS traits FROM customer WHERE c_custkey % 12 = 0 GROUP BY 1)
+    """WITH a(action, needs) AS (VALUES ('restock', ['BUILDING', 'MACHINERY']), ('audit', ['AUTOMOBILE']), ('close', ['BUILDING', 'FURNITURE', 'HOUSEHOLD'])), t AS (SELECT c_nationkey AS k, list_distinct(list(c_mktsegment)) AS traits FROM customer WHERE c_acctbal > 9000 GROUP BY 1)
  SELECT k, action, len(list_filter(needs, lambda x: NOT list_contains(traits, x))) = 0 AS fits, array_to_string(list_sort(list_filter(needs, lambda x: NOT list_contains(traits, x))), ',') AS missing FROM t CROSS JOIN a""",
 )
 def action_fit(spark, sf_dir):
-    traits = table(spark, sf_dir, "customer").where("c_custkey % 12 = 0").groupBy(F.col("c_nationkey").alias("k")).agg(F.collect_set("c_mktsegment").alias("traits"))
+    traits = table(spark, sf_dir, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.collect_set("c_mktsegment").alias("traits"))
     actions = spark.createDataFrame([("restock", ["BUILDING", "MACHINERY"]), ("audit", ["AUTOMOBILE"]), ("close", ["BUILDING", "FURNITURE", "HOUSEHOLD"])], "action string, needs array<string>")
     missing = F.sort_array(F.array_except("needs", "traits"))
     return traits.join(F.broadcast(actions)).select("k", "action", (F.size(missing) == 0).alias("fits"), F.array_join(missing, ",").alias("missing"))
 
 
-@query("dangling_references", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ANTI JOIN (SELECT p_partkey AS l_partkey FROM part WHERE p_partkey % 97 <> 0) USING (l_partkey)")
+@query("dangling_references", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem ANTI JOIN (SELECT p_partkey AS l_partkey FROM part WHERE p_size <> 50) USING (l_partkey)")
 def dangling_references(spark, sf_dir):
-    known = table(spark, sf_dir, "part").where("p_partkey % 97 <> 0").select(F.col("p_partkey").alias("l_partkey"))
+    known = table(spark, sf_dir, "part").where("p_size <> 50").select(F.col("p_partkey").alias("l_partkey"))
     return table(spark, sf_dir, "lineitem").join(known, "l_partkey", "left_anti").select("l_orderkey", "l_linenumber", "l_partkey")
 
 

@@ -54,13 +54,13 @@ def redundant_bytes(spark, sf_dir):
 
 @query(
     "economy_balance",
-    """WITH l AS (SELECT user_id, round(sum(value) FILTER (event_type = 'purchase' AND event_id % 7 <> 0), 4) AS cost, round(sum(value) FILTER (event_type = 'signup' AND event_id % 5 <> 0), 4) AS saved FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+    """WITH l AS (SELECT user_id, round(sum(value) FILTER (event_type = 'purchase' AND value > 60), 4) AS cost, round(sum(value) FILTER (event_type = 'signup' AND value > 80), 4) AS saved FROM events GROUP BY 1)
  SELECT user_id, cost, saved, cost IS NOT NULL AND saved IS NOT NULL AS known, concat_ws(',', CASE WHEN cost IS NULL THEN 'cost' END, CASE WHEN saved IS NULL THEN 'saved' END) AS missing, round(saved - cost, 4) AS balance FROM l""",
 )
 def economy_balance(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").where("event_id % 3 = 0")
-    part = lambda kind, m: F.round(F.sum(F.when((F.col("event_type") == kind) & (F.col("event_id") % m != 0), F.col("value"))), 4)
-    return R.balance(e.groupBy("user_id").agg(part("purchase", 7).alias("cost"), part("signup", 5).alias("saved")), ["cost"], ["saved"])
+    e = _t(spark, sf_dir, "events")
+    part = lambda kind, least: F.round(F.sum(F.when((F.col("event_type") == kind) & (F.col("value") > least), F.col("value"))), 4)
+    return R.balance(e.groupBy("user_id").agg(part("purchase", 60).alias("cost"), part("signup", 80).alias("saved")), ["cost"], ["saved"])
 
 
 @query("recomputed_tasks", "SELECT event_type, props, count(*) AS runs, round(sum(value) - max(value), 4) AS wasted FROM events GROUP BY ALL HAVING count(*) > 20")
@@ -154,11 +154,11 @@ def token_costs(spark, sf_dir):
 
 @query(
     "noisy_or",
-    """WITH b AS (SELECT event_type AS claim, user_id AS unit, max(round(value / 400, 6)) AS v FROM events WHERE event_id % 40 = 0 GROUP BY ALL)
+    """WITH b AS (SELECT event_type AS claim, user_id AS unit, max(round(value / 400, 6)) AS v FROM events GROUP BY ALL)
  SELECT claim, CASE WHEN max(CASE WHEN v >= 1 THEN 1 ELSE 0 END) = 1 THEN 1.0 ELSE round(1 - exp(sum(CASE WHEN v < 1 THEN ln(1 - v) ELSE 0 END)), 4) END::DOUBLE AS confidence, count(*) AS units FROM b GROUP BY 1""",
 )
 def noisy_or(spark, sf_dir):
-    s = _t(spark, sf_dir, "events").where("event_id % 40 = 0").select(F.col("event_type").alias("claim"), F.col("user_id").alias("unit"), F.round(F.col("value") / 400, 6).alias("v"))
+    s = _t(spark, sf_dir, "events").select(F.col("event_type").alias("claim"), F.col("user_id").alias("unit"), F.round(F.col("value") / 400, 6).alias("v"))
     return R.noisy_or(s, "claim", "unit", "v")
 
 
@@ -182,7 +182,7 @@ def conflicts(spark, sf_dir):
     return R.conflicts(c, ["subject"], "value", "rank", "made", "id")
 
 
-_PREDICTED = "SELECT l.*, d.lang, CASE WHEN d.doc_id % 11 = 0 THEN NULL WHEN d.n_chars >= 1000 THEN 1 ELSE 0 END AS p FROM labels l JOIN documents d USING (doc_id)"
+_PREDICTED = "SELECT l.*, d.lang, CASE WHEN d.n_chars < 300 THEN NULL WHEN d.n_chars >= 1000 THEN 1 ELSE 0 END AS p FROM labels l JOIN documents d USING (doc_id)"
 
 
 @query(
@@ -192,7 +192,7 @@ _PREDICTED = "SELECT l.*, d.lang, CASE WHEN d.doc_id % 11 = 0 THEN NULL WHEN d.n
  SELECT *, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(tn / nullif(tn + fp, 0), 6) AS specificity, round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 6) AS balanced, round((planned - missing) / planned, 6) AS coverage FROM c""",
 )
 def confusion_metrics(spark, sf_dir):
-    p = F.when(F.col("doc_id") % 11 == 0, None).when(F.col("n_chars") >= 1000, 1).otherwise(0)
+    p = F.when(F.col("n_chars") < 300, None).when(F.col("n_chars") >= 1000, 1).otherwise(0)
     return R.confusion(_t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents"), "doc_id").withColumn("p", p), "quality", "p", "lang")
 
 
@@ -201,7 +201,7 @@ def confusion_metrics(spark, sf_dir):
     f"""WITH r AS ({_PREDICTED}) SELECT lang, count(*) FILTER (p = quality) AS holds, count(*) FILTER (p <> quality) AS violated, count(*) FILTER (p IS NULL) AS pending, round((count(*) FILTER (p = quality) + 1) / (count(p) + 2), 6) AS beta_mean FROM r GROUP BY 1""",
 )
 def prediction_scorecard(spark, sf_dir):
-    p = F.when(F.col("doc_id") % 11 == 0, None).when(F.col("n_chars") >= 1000, 1).otherwise(0)
+    p = F.when(F.col("n_chars") < 300, None).when(F.col("n_chars") >= 1000, 1).otherwise(0)
     r = _t(spark, sf_dir, "labels").join(_t(spark, sf_dir, "documents"), "doc_id").withColumn("p", p)
     right, wrong = F.count_if(F.col("p") == F.col("quality")), F.count_if(F.col("p") != F.col("quality"))
     return r.groupBy("lang").agg(right.alias("holds"), wrong.alias("violated"), F.count_if(F.col("p").isNull()).alias("pending"), F.round((right + 1) / (F.count("p") + 2), 6).alias("beta_mean"))
@@ -217,28 +217,28 @@ def pareto_skyline(spark, sf_dir):
 
 @query(
     "export_diff",
-    """WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 10 <> 0), b AS (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN text || 'x' ELSE text END) AS h FROM documents WHERE doc_id % 13 <> 0)
+    """WITH a AS (SELECT doc_id, md5(text) AS h FROM documents WHERE lang <> 'es'), b AS (SELECT doc_id, md5(CASE WHEN n_chars > 3000 THEN text || 'x' ELSE text END) AS h FROM documents WHERE source <> 'src3')
  SELECT doc_id, CASE WHEN a.h IS NULL THEN 'new' WHEN b.h IS NULL THEN 'removed' WHEN a.h = b.h THEN 'unchanged' ELSE 'changed' END AS state FROM a FULL JOIN b USING (doc_id)""",
 )
 def export_diff(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
-    old = d.where("doc_id % 10 <> 0").select("doc_id", F.md5("text").alias("h"))
-    new = d.where("doc_id % 13 <> 0").select("doc_id", F.md5(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("h"))
+    old = d.where("lang <> 'es'").select("doc_id", F.md5("text").alias("h"))
+    new = d.where("source <> 'src3'").select("doc_id", F.md5(F.when(F.col("n_chars") > 3000, F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("h"))
     return R.diff(old, new, "doc_id", "h")
 
 
 @query(
     "billing_reconciliation",
-    """WITH l AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN NULL ELSE value END AS a FROM events WHERE event_type = 'purchase' AND event_id % 10 <> 0),
- x AS (SELECT event_id, CASE WHEN event_id % 8 = 0 THEN value + 1 ELSE value END AS a FROM events WHERE event_type = 'purchase' AND event_id % 12 <> 0 UNION ALL SELECT event_id, CASE WHEN event_id % 14 = 0 THEN value + 2 ELSE value END FROM events WHERE event_type = 'purchase' AND event_id % 7 = 0),
+    """WITH l AS (SELECT event_id, CASE WHEN value < 5 THEN NULL ELSE value END AS a FROM events WHERE event_type = 'purchase' AND user_id <> 5),
+ x AS (SELECT event_id, CASE WHEN value > 100 THEN value + 1 ELSE value END AS a FROM events WHERE event_type = 'purchase' AND user_id <> 6 UNION ALL SELECT event_id, CASE WHEN value > 30 THEN value + 2 ELSE value END FROM events WHERE event_type = 'purchase' AND user_id < 20),
  o AS (SELECT event_id, count(DISTINCT a) AS k, min(a) AS x FROM x GROUP BY 1)
  SELECT event_id, CASE WHEN k > 1 THEN 'conflict' WHEN l.event_id IS NULL THEN 'unmatched export' WHEN k IS NULL THEN 'unmatched ledger' WHEN l.a IS NULL THEN 'recovered' WHEN abs(l.a - o.x) <= 1e-12 THEN 'matched' ELSE 'mismatch' END AS state FROM l FULL JOIN o USING (event_id)""",
 )
 def billing_reconciliation(spark, sf_dir):
     e = _t(spark, sf_dir, "events").where("event_type = 'purchase'")
-    ledger = e.where("event_id % 10 <> 0").select("event_id", F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("a"))
-    one = e.where("event_id % 12 <> 0").select("event_id", F.when(F.col("event_id") % 8 == 0, F.col("value") + 1).otherwise(F.col("value")).alias("a"))
-    two = e.where("event_id % 7 = 0").select("event_id", F.when(F.col("event_id") % 14 == 0, F.col("value") + 2).otherwise(F.col("value")).alias("a"))
+    ledger = e.where("user_id <> 5").select("event_id", F.when(F.col("value") >= 5, F.col("value")).alias("a"))
+    one = e.where("user_id <> 6").select("event_id", F.when(F.col("value") > 100, F.col("value") + 1).otherwise(F.col("value")).alias("a"))
+    two = e.where("user_id < 20").select("event_id", F.when(F.col("value") > 30, F.col("value") + 2).otherwise(F.col("value")).alias("a"))
     return R.reconcile(ledger, one.unionByName(two), "event_id", "a", 1e-12)
 
 
@@ -255,13 +255,13 @@ def blob_store(spark, sf_dir):
 
 @query(
     "near_dup_jaccard",
-    """WITH w AS (SELECT p_partkey AS id, string_split(lower(trim(p_name || ' ' || p_type || ' ' || p_brand || ' size ' || p_size)), ' ') AS w FROM part WHERE p_partkey < 600),
+    """WITH w AS (SELECT p_partkey AS id, string_split(lower(trim(p_name || ' ' || p_type || ' ' || p_brand || ' size ' || p_size)), ' ') AS w FROM part),
  g AS (SELECT id, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 1), ' '))) AS g FROM w), x AS (SELECT id, unnest(g) AS gram FROM g),
  df AS (SELECT gram FROM x GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60), c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b USING (gram) SEMI JOIN df USING (gram) WHERE a.id < b.id)
  SELECT a, b, round(len(list_intersect(ga.g, gb.g)) / (len(ga.g) + len(gb.g) - len(list_intersect(ga.g, gb.g))), 6) AS jaccard FROM c JOIN g ga ON ga.id = a JOIN g gb ON gb.id = b WHERE len(list_intersect(ga.g, gb.g)) / (len(ga.g) + len(gb.g) - len(list_intersect(ga.g, gb.g))) >= 0.6""",
 )
 def near_dup_jaccard(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").where("p_partkey < 600").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand", F.lit("size"), F.col("p_size").cast("string")).alias("t"))
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand", F.lit("size"), F.col("p_size").cast("string")).alias("t"))
     return R.jaccard_pairs(R.token_sets(p, "id", "t", 2), "id", 0.6, 60)
 
 

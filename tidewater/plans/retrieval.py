@@ -141,26 +141,26 @@ def weighted_fusion(spark, sf_dir):
 @query(
     "cascade_decisions",
     f"""WITH {_KEYWORD_SQL}, s AS (SELECT doc_id, score AS lexical, round((n_chars % 101) / 100.0::DOUBLE, 6) AS vector, n_chars < 100 AS short, lang = 'es' AS es,
- CASE WHEN doc_id % 97 = 0 THEN 'include' END AS manual FROM kw JOIN documents USING (doc_id))
+ CASE WHEN source = 'src7' THEN 'include' END AS manual FROM kw JOIN documents USING (doc_id))
  SELECT doc_id, CASE WHEN manual IS NOT NULL THEN manual WHEN short OR es THEN 'exclude' WHEN lexical >= 0.75 THEN 'include' WHEN lexical <= 0.25 THEN 'exclude'
   WHEN vector >= 0.75 THEN 'include' WHEN vector <= 0.25 THEN 'exclude' ELSE 'ambiguous' END AS decision,
   CASE WHEN manual IS NOT NULL THEN 'manual' WHEN short OR es THEN 'mask' WHEN lexical >= 0.75 OR lexical <= 0.25 THEN 'lexical' WHEN vector >= 0.75 OR vector <= 0.25 THEN 'vector' ELSE 'none' END AS level FROM s""",
 )
 def cascade_decisions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    scored = R.keyword(docs, _asked(spark, sf_dir), "doc_id", "text", "q").withColumnRenamed("score", "lexical").join(docs.select("doc_id", "n_chars", "lang"), "doc_id")
+    scored = R.keyword(docs, _asked(spark, sf_dir), "doc_id", "text", "q").withColumnRenamed("score", "lexical").join(docs.select("doc_id", "n_chars", "lang", "source"), "doc_id")
     masks = F.array_compact(F.array(F.when(F.col("n_chars") < 100, "short"), F.when(F.col("lang") == "es", "language")))
-    rows = scored.select("doc_id", "lexical", F.round(F.col("n_chars") % 101 / 100.0, 6).alias("vector"), masks.alias("masks"), F.when(F.col("doc_id") % 97 == 0, "include").alias("manual"))
+    rows = scored.select("doc_id", "lexical", F.round(F.col("n_chars") % 101 / 100.0, 6).alias("vector"), masks.alias("masks"), F.when(F.col("source") == "src7", "include").alias("manual"))
     return R.cascade(rows, "doc_id")
 
 
 @query(
     "selection_precedence",
-    """SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'exclude' WHEN n_chars < 200 THEN 'exclude' WHEN lang = 'de' AND n_chars > 2000 THEN 'include' WHEN lang = 'en' THEN 'include' ELSE 'review' END AS decision,
- CASE WHEN doc_id % 50 = 0 THEN 'override' WHEN n_chars < 200 THEN 'rule:short' WHEN lang = 'de' AND n_chars > 2000 THEN 'rule:long german' ELSE 'default' END AS decided_by FROM documents""",
+    """SELECT doc_id, CASE WHEN source = 'src9' THEN 'exclude' WHEN n_chars < 200 THEN 'exclude' WHEN lang = 'de' AND n_chars > 2000 THEN 'include' WHEN lang = 'en' THEN 'include' ELSE 'review' END AS decision,
+ CASE WHEN source = 'src9' THEN 'override' WHEN n_chars < 200 THEN 'rule:short' WHEN lang = 'de' AND n_chars > 2000 THEN 'rule:long german' ELSE 'default' END AS decided_by FROM documents""",
 )
 def selection_precedence(spark, sf_dir):
-    units = table(spark, sf_dir, "documents").withColumn("manual", F.when(F.col("doc_id") % 50 == 0, "exclude"))
+    units = table(spark, sf_dir, "documents").withColumn("manual", F.when(F.col("source") == "src9", "exclude"))
     rules = [("short", F.col("n_chars") < 200, "exclude"), ("long german", (F.col("lang") == "de") & (F.col("n_chars") > 2000), "include")]
     return R.precedence(units, "manual", rules, "lang", {"en": "include", "de": "review", "fr": "review", "es": "review"}).select("doc_id", "decision", "decided_by")
 
