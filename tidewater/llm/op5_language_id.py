@@ -1,6 +1,6 @@
 """Language identification by Bayesian evidence fusion.
 
-Evidence of a document: the likelihood of its text under hashed byte-trigram models, the language its markup declares,
+Evidence of a document: the likelihood of its text under hashed byte-trigram models (trigrams of words only), the language its markup declares,
 the suffix of its address, and its host. Text models are trained on a bounded sample of rows with a declared language
 (``train_rows``, chosen by a hash of the id). Everything else is grouped aggregation over all rows: how often a declared
 language or an address suffix goes with a text language, and per host the expected language counts, smoothed towards the
@@ -39,6 +39,20 @@ def trigrams(data: np.ndarray) -> np.ndarray:
     return _POSITION[0][data[:-2]] ^ _POSITION[1][data[1:-1]] ^ _POSITION[2][data[2:]]
 
 
+_WORDLIKE = np.zeros(256, bool)
+_WORDLIKE[[*range(65, 91), *range(97, 123), *range(128, 256), 32, 39, 10]] = True
+NO_GRAM = BUCKETS  # stands for trigrams with digits or symbols, which say nothing about a language
+
+
+def letter_trigrams(data: np.ndarray) -> np.ndarray:
+    """Buckets as in :func:`trigrams`, NO_GRAM where one of the three bytes belongs to no word."""
+    grams = trigrams(data).astype(np.int32)
+    if len(grams):
+        fine = _WORDLIKE[data]
+        grams[~(fine[:-2] & fine[1:-1] & fine[2:])] = NO_GRAM
+    return grams
+
+
 def text_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of values over the trigrams that lie within each text."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
@@ -48,7 +62,7 @@ def text_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Log-probabilities in units of 1/SCALE: row per language, column per bucket."""
+    """Log-probabilities in units of 1/SCALE: row per language, column per bucket and a last one of zeros."""
 
     languages: list[str]
     table: np.ndarray
@@ -67,7 +81,7 @@ def train(docs: DataFrame, text: str, declared: str, key: str, train_rows: int,
         for batch in batches:
             data, offsets = P.buffers(batch.column(0))
             for k, language in enumerate(batch.column(1).to_pylist()):
-                own = np.bincount(trigrams(data[offsets[k] : offsets[k + 1]]), minlength=BUCKETS)
+                own = np.bincount(letter_trigrams(data[offsets[k] : offsets[k + 1]]), minlength=BUCKETS + 1)[:BUCKETS]
                 tables[language] = tables.get(language, 0) + own
                 rows[language] = rows.get(language, 0) + 1
         if tables:
@@ -84,6 +98,7 @@ def train(docs: DataFrame, text: str, declared: str, key: str, train_rows: int,
     smooth = 0.05
     logs = [np.log((counts[x] + smooth) / (counts[x].sum() + smooth * BUCKETS)) for x in languages]
     table = np.round(SCALE * np.array(logs)).astype(np.int32) if logs else np.zeros((0, BUCKETS), np.int32)
+    table = np.pad(table, ((0, 0), (0, 1)))  # NO_GRAM weighs nothing
     return Model(languages, table)
 
 
@@ -103,10 +118,10 @@ def evidence(docs: DataFrame, model: Model, text: str) -> DataFrame:
             data, offsets = P.buffers(batch.column(at))
             out = np.zeros((batch.num_rows, width))
             for a, b in P.slices(offsets, 4 << 20):
-                grams, own = trigrams(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
+                grams, own = letter_trigrams(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
                 for k in range(width - 1):
                     out[a:b, k] = weight * text_sums(model.table[k][grams], own)
-                out[a:b, -1] = weight * uniform * np.maximum(np.diff(own) - 2, 0)
+                out[a:b, -1] = weight * uniform * text_sums(grams != NO_GRAM, own)
             ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(ends, pa.array(out.ravel()))], [*batch.schema.names, EVIDENCE])
 
