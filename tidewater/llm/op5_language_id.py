@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,8 +70,8 @@ class Model:
 
 
 def train(docs: DataFrame, text: str, declared: str, key: str, train_rows: int, least_rows: int = 5) -> Model:
-    """Fit trigram models on about ``train_rows`` rows that declare a language; the driver receives one count table per
-    task and language, whatever the sample's texts hold."""
+    """Fit trigram models on about ``train_rows`` rows that declare a language; tables are added up per language on
+    the executors, so the driver receives one count table per language, whatever the sample's texts hold."""
     known = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.lower(F.col(declared)).alias("language"), F.xxhash64(key).alias("draw"))
     n = known.count()
     if n > train_rows:
@@ -90,8 +91,14 @@ def train(docs: DataFrame, text: str, declared: str, key: str, train_rows: int,
                 ["language", "n", "counts"],
             )
 
+    def add(part: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(x, "<i8") for x in part["counts"])
+        return pd.DataFrame([[part["language"].iloc[0], part["n"].sum(), total.tobytes()]], columns=part.columns)
+
+    schema = "language string, n long, counts binary"
+    per_task = known.select("text", "language").coalesce(16).mapInArrow(count, schema)
     counts, rows = {}, {}
-    for r in known.select("text", "language").coalesce(16).mapInArrow(count, "language string, n long, counts binary").collect():
+    for r in per_task.groupBy("language").applyInPandas(add, schema).collect():
         counts[r.language] = counts.get(r.language, 0) + np.frombuffer(r.counts, "<i8")
         rows[r.language] = rows.get(r.language, 0) + r.n
     languages = sorted(x for x in counts if rows[x] >= min(least_rows, max(rows.values())))
