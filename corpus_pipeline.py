@@ -53,7 +53,7 @@ STAGES = [
     ("near_dedup", near_dedup),
     ("packing", packing),
 ]
-#: SQL can't express byte-pair encoding; the tests hold every stage against a brute-force version.
+#: SQL cannot express byte-pair encoding; the tests hold the operators of the stages against brute-force versions.
 ORACLE_SQL = None
 
 
