@@ -3,9 +3,11 @@
 import difflib
 import math
 import os
+import random
 from collections import Counter, defaultdict
 
 from tidewater.operators import graph as G
+from tidewater.operators import reports as R
 from tidewater.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -69,3 +71,14 @@ def test_label_propagation(spark):
         votes = {k: Counter(want[x] for x in v) for k, v in near.items()}
         want = {k: min((-n, label) for label, n in v.items())[1] if v else want[k] for k, v in votes.items()}
     assert got == want
+
+
+def test_jaccard_pairs_of_frequent_grams(spark):
+    rng = random.Random(5)
+    sets = {k: {f"g{rng.choice([rng.randint(0, 3), rng.randint(0, 11)])}" for _ in range(rng.randint(1, 9))} for k in range(600)}
+    grams = spark.createDataFrame([(k, len(s), g) for k, s in sets.items() for g in s] + [(None, 1, "g0")], "id long, size int, gram string")
+    assert min(Counter(g for s in sets.values() for g in s).values()) > 60
+    for least in (0.6, 0.75, 1.0):
+        want = {(a, b, round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= least}
+        got = [tuple(r) for r in R.jaccard_pairs(grams, "id", least).collect()]
+        assert len(got) == len(want) and set(got) == want

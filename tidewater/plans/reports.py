@@ -262,7 +262,7 @@ def blob_store(spark, sf_dir):
 )
 def near_dup_jaccard(spark, sf_dir):
     p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand", F.lit("size"), F.col("p_size").cast("string")).alias("t"))
-    return R.jaccard_pairs(R.token_sets(p, "id", "t", 2), "id", 0.6, 60)
+    return R.jaccard_pairs(R.token_sets(p, "id", "t", 2), "id", 0.6)
 
 
 @query(
