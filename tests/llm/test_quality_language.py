@@ -95,3 +95,16 @@ def test_no_language_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None, "s")], "doc_id long, text string, lang string, source string")
     assert [tuple(r)[:2] for r in L.identify_documents(docs).collect()] == [(1, "und")]
     assert L.identify_documents(docs.where("false")).collect() == []
+
+
+def test_rare_language_has_a_model(spark):
+    greek = ["η γλώσσα αυτή είναι σπάνια μέσα στα κείμενα", "τα κείμενα αυτά γράφτηκαν στην ελληνική γλώσσα"]
+    common = {"en": "the words of this text are in one common language", "de": "die Wörter dieses Textes sind in einer häufigen Sprache"}
+    rows = [(k, f"{t} {k} " * 4, lang, f"s{k % 7}") for k in range(1500) for lang, t in [list(common.items())[k % 2]]]
+    rows += [(5000 + k, f"{greek[k % 2]} {k} " * 4, "el", f"s{k % 7}") for k in range(8)]
+    rows += [(6000 + k, " ".join(greek) * 4, None, "s1") for k in range(3)] + [(7000, "only one row", "xx", "s1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: (r.language, r.kept) for r in L.identify_documents(docs, train_rows=100).where("doc_id >= 5000").collect()}
+    assert [got[k] for k in (*range(5000, 5008), 6000, 6001, 6002)] == [("el", True)] * 11
+    assert got[7000][0] != "xx"
+    assert L.keep_identified(docs, train_rows=100).where("lang = 'el'").count() == 8

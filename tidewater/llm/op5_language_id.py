@@ -1,8 +1,9 @@
 """Language identification by Bayesian evidence fusion.
 
 Evidence of a document: the likelihood of its text under hashed byte-trigram models (trigrams of words only), the language its markup declares,
-the suffix of its address, and its host. Text models are trained on a bounded sample of rows with a declared language
-(``train_rows``, chosen by a hash of the id). Everything else is grouped aggregation over all rows: how often a declared
+the suffix of its address, and its host. Languages are those that enough rows of the whole corpus declare; their text models
+are trained on a bounded sample of about ``train_rows`` rows, and of each language on ``LANGUAGE_ROWS`` at least or all it
+has, chosen by a hash of id and text. Everything else is grouped aggregation over all rows: how often a declared
 language or an address suffix goes with a text language, and per host the expected language counts, smoothed towards the
 host's domain and that towards the whole corpus. The posterior is the normalised product; ``und`` is a class of its own
 with a uniform text model, for texts that no language explains.
@@ -69,27 +70,43 @@ class Model:
     table: np.ndarray
 
 
+LANGUAGE_ROWS = 400
+TABLES = 32  # count tables that a training task holds at once
+
+
 def train(docs: DataFrame, text: str, declared: str, key: str, train_rows: int, least_rows: int = 5) -> Model:
-    """Fit trigram models on about ``train_rows`` rows that declare a language; tables are added up per language on
-    the executors, so the driver receives one count table per language, whatever the sample's texts hold."""
-    known = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.lower(F.col(declared)).alias("language"), F.xxhash64(key).alias("draw"))
-    n = known.count()
-    if n > train_rows:
-        known = known.where(F.pmod(F.col("draw"), F.lit(1 << 20)) < int((1 << 20) * train_rows / n) + 1)
+    """Fit a trigram model for every language that ``least_rows`` of all rows declare, on a sample that has about its share
+    of ``train_rows`` rows or LANGUAGE_ROWS, whichever is more; tables are added up per language on the executors, so the
+    driver receives one count table per language, whatever the sample's texts hold."""
+    known = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.lower(F.col(declared)).alias("language"), F.xxhash64(key, text).alias("draw"))
+    declaring = materialize(known.groupBy("language").agg(F.count("*").alias("n")))
+    n, most = declaring.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    chosen = declaring.where(F.col("n") >= min(least_rows, most))
+    drawn = F.greatest(F.lit(train_rows / max(n, 1)), F.lit(LANGUAGE_ROWS) / F.col("n"))
+    known = _with(known, chosen.select("language", drawn.alias("share")), "language").where(F.pmod(F.col("draw"), F.lit(1 << 20)) < F.floor(F.col("share") * (1 << 20)) + 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, rows = {}, {}
+
+        def emptied() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(list(tables)), pa.array(list(rows.values())), pa.array([t.astype("<i8").tobytes() for t in tables.values()])],
+                ["language", "n", "counts"],
+            )
+            tables.clear()
+            rows.clear()
+            return out
+
         for batch in batches:
             data, offsets = P.buffers(batch.column(0))
             for k, language in enumerate(batch.column(1).to_pylist()):
+                if language not in tables and len(tables) == TABLES:
+                    yield emptied()
                 own = np.bincount(letter_trigrams(data[offsets[k] : offsets[k + 1]]), minlength=BUCKETS + 1)[:BUCKETS]
                 tables[language] = tables.get(language, 0) + own
                 rows[language] = rows.get(language, 0) + 1
         if tables:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(tables)), pa.array(list(rows.values())), pa.array([t.astype("<i8").tobytes() for t in tables.values()])],
-                ["language", "n", "counts"],
-            )
+            yield emptied()
 
     def add(part: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, "<i8") for x in part["counts"])
@@ -97,11 +114,10 @@ def train(docs: DataFrame, text: str, declared: str, key: str, train_rows: int,
 
     schema = "language string, n long, counts binary"
     per_task = known.select("text", "language").coalesce(16).mapInArrow(count, schema)
-    counts, rows = {}, {}
+    counts = {}
     for r in per_task.groupBy("language").applyInPandas(add, schema).collect():
         counts[r.language] = counts.get(r.language, 0) + np.frombuffer(r.counts, "<i8")
-        rows[r.language] = rows.get(r.language, 0) + r.n
-    languages = sorted(x for x in counts if rows[x] >= min(least_rows, max(rows.values())))
+    languages = sorted(counts)
     smooth = 0.05
     logs = [np.log((counts[x] + smooth) / (counts[x].sum() + smooth * BUCKETS)) for x in languages]
     table = np.round(SCALE * np.array(logs)).astype(np.int32) if logs else np.zeros((0, BUCKETS), np.int32)
