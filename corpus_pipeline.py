@@ -34,10 +34,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one of smallest id, of every group of near-duplicates (five words, similarity 0.8)."""
+    """Keep one document, the one of smallest id, of every group of near-duplicates (five words, similarity 0.8). Rows of
+    one id with different texts, and rows without an id, are documents of their own."""
     ship(spark)
-    kept = op9_minhash.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    numbered, _ = op9_minhash.numbered(docs, "doc_id", "text", "_row")
+    kept = op9_minhash.near_rows(numbered, "_row", "text").where("kept").select(F.col("row").alias("_row")).distinct()
+    return numbered.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tidewater.llm import op9_minhash as M
 from tidewater.llm.components import components
 
@@ -97,3 +98,15 @@ def test_components(spark):
     got = dict(map(tuple, components(df).collect()))
     assert got == {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 104)} | {300 + k: 200 for k in range(30)}
     assert components(df.where("false")).collect() == []
+
+
+def test_rows_of_one_id_are_judged_each(spark):
+    text = {c: " ".join(f"{c}{k}" for k in range(40)) for c in "xyzuv"}
+    near = text["u"].replace("u39", "other")
+    rows = [(3, text["x"]), (7, text["x"]), (7, text["y"]), (7, text["y"]), (None, text["z"]), (None, text["u"]), (None, text["v"]), (None, None), (9, near), (7, near), (5, "")]
+    df = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string").repartition(3)
+    want = {(3, text["x"]), (7, text["y"]), (None, text["z"]), (None, text["u"]), (None, text["v"]), (None, None), (5, "")}
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, df, "").collect()]
+    assert len(got) == len(want) and set(got) == want
+    found = sorted(((r.doc_id or 0, r.component_id or 0, r.kept) for r in M.near_duplicates(df).collect()), key=str)
+    assert found == sorted([(3, 3, True), (7, 3, False), (7, 7, True), (7, 7, True), *[(0, 0, True)] * 4, (9, 0, False), (7, 0, False), (5, 5, True)], key=str)

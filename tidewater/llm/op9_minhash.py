@@ -236,6 +236,27 @@ def block_links(one: list[dict], two: list[dict], percent: int, columns: int = 4
     return out
 
 
+def _ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Id d (a null one is the smallest) and two 64-bit hashes of the text, h and g, null for a null text."""
+    text = F.col(text_col).cast("string")
+    hashed = [F.when(text.isNotNull(), F.xxhash64(*salt, text)).alias(name) for name, salt in (("h", []), ("g", [F.lit(7)]))]
+    return docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST_ID)).alias("d"), *hashed)
+
+
+def numbered(docs: DataFrame, id_col: str, text_col: str, row: str) -> tuple[DataFrame, DataFrame | None]:
+    """The input with a number ``row`` per row, equal for rows equal in id and text only and ordered as the ids, and a
+    table (row, d) of the numbers' ids; where no id has several texts, the ids are the numbers and the table is None."""
+    keyed = _ids(docs, id_col, text_col)
+    content = F.struct(F.col("h").isNull(), "h", "g")
+    if keyed.groupBy("d").agg(F.min(content).alias("low"), F.max(content).alias("high")).where("low <> high").isEmpty():
+        return keyed.withColumn(row, F.col("d")).select(*docs.columns, row), None
+    # stored in order first: the numbers then rise with partition and place
+    distinct = written(keyed.select("d", "h", "g").distinct().orderBy("d", "h", "g").withColumn(row, F.monotonically_increasing_id()), "row-numbers")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("d", "h", "g")]
+    given = keyed.alias("a").join(distinct.alias("b"), same).select(*[F.col(f"a.{c}") for c in docs.columns], F.col(f"b.{row}"))
+    return written(given, "numbered-rows"), distinct.select(row, "d")
+
+
 def near_duplicates(
     docs: DataFrame, shingle: int = 5, percent: int = 80, lanes: int = LANES, rows: int = ROWS,
     id_col: str = "doc_id", text_col: str = "text",
@@ -244,10 +265,24 @@ def near_duplicates(
 
     Two documents are linked if their sets of ``shingle``-word shingles have a Jaccard similarity of ``percent``/100 or
     more; candidates at exactly 0.8 are missed with probability (1 - 0.8^rows)^(lanes/rows), 3e-6 as set. Null and empty
-    texts have an empty set, are linked with nothing and kept. Rows that share an id are one document: their sets are
-    linked as a whole. A null id is the smallest one. Other columns aren't read.
+    texts have an empty set, are linked with nothing and kept. Rows equal in id and text are one document; other rows of
+    one id are documents of their own, of which the first of a component by id and text hash is kept. A null id is the
+    smallest one. Other columns aren't read.
     """
-    slim = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST_ID)).alias("d"), F.col(text_col).cast("string").alias("text"))
+    rows_of, ids = numbered(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "id", "text", "row")
+    out = near_rows(rows_of, "row", "text", shingle, percent, lanes, rows)
+    if ids is not None:
+        own = lambda a, b: ids.select(F.col("row").alias(a), F.col("d").alias(b))
+        out = out.join(own("row", "d"), "row").join(own("first", "component"), "first")
+    else:
+        out = out.withColumns({"d": F.col("row"), "component": F.col("first")})
+    back = lambda c: F.when(F.col(c) != _FIRST_ID, F.col(c)).alias
+    return out.select(back("d")("doc_id"), "n_shingles", back("component")("component_id"), "kept")
+
+
+def near_rows(docs: DataFrame, row: str, text_col: str, shingle: int = 5, percent: int = 80, lanes: int = LANES, rows: int = ROWS) -> DataFrame:
+    """Component of every row by its number from :func:`numbered`: row, n_shingles, first (the component's smallest), kept."""
+    slim = docs.select(F.col(row).alias("d"), F.col(text_col).cast("string").alias("text"))
     signed = materialize(sign(slim, shingle, lanes, rows))
     classes = signed.where("n > 0").groupBy("a", "b").agg(F.min("d").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     keyed = classes.select("rep", "n", F.explode("bands").alias("key"))
@@ -258,10 +293,8 @@ def near_duplicates(
     roots = labels.select(F.col("node").alias("rep"), "root")
     mapped = classes.drop("bands").join(roots, "rep", "left").where("copies > 1 or root is not null").select("a", "b", F.coalesce("root", "rep").alias("component"))
     out = signed.drop("bands").join(mapped, ["a", "b"], "left")
-    # rows that share an id may belong to several classes: the id's component is the smallest
-    out = out.withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "d")).otherwise(F.col("d")))
-    back = lambda c: F.when(F.col(c) != _FIRST_ID, F.col(c)).alias
-    return out.select(back("d")("doc_id"), F.col("n").alias("n_shingles"), back("component")("component_id"), (F.col("component") == F.col("d")).alias("kept"))
+    first = F.when(F.col("n") > 0, F.coalesce("component", "d")).otherwise(F.col("d"))
+    return out.select(F.col("d").alias("row"), F.col("n").alias("n_shingles"), first.alias("first"), (first == F.col("d")).alias("kept"))
 
 
 def _link(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
