@@ -247,8 +247,8 @@ def numbered(docs: DataFrame, id_col: str, text_col: str, row: str) -> tuple[Dat
     """The input with a number ``row`` per row, equal for rows equal in id and text only and ordered as the ids, and a
     table (row, d) of the numbers' ids; where no id has several texts, the ids are the numbers and the table is None."""
     keyed = _ids(docs, id_col, text_col)
-    content = F.struct(F.col("h").isNull(), "h", "g")
-    if keyed.groupBy("d").agg(F.min(content).alias("low"), F.max(content).alias("high")).where("low <> high").isEmpty():
+    texts = keyed.groupBy("d").agg(F.min("h").alias("h1"), F.max("h").alias("h2"), F.min("g").alias("g1"), F.max("g").alias("g2"), F.count("h").alias("known"), F.count("*").alias("n"))
+    if texts.where("h1 <> h2 or g1 <> g2 or known between 1 and n - 1").isEmpty():
         return keyed.withColumn(row, F.col("d")).select(*docs.columns, row), None
     # stored in order first: the numbers then rise with partition and place
     distinct = written(keyed.select("d", "h", "g").distinct().orderBy("d", "h", "g").withColumn(row, F.monotonically_increasing_id()), "row-numbers")
