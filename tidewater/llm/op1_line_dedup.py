@@ -1,11 +1,12 @@
 """Line dedup by winnowing over line hashes, in DataFrame functions only.
 
 The unit is the line that holds a word. A window is the shortest run of consecutive lines of one document that reaches
-``min_words`` words; a line that has them alone is a window by itself. Of each window the smallest line hash is selected
-as its fingerprint (winnowing): two documents that share a run of at least ``min_words`` words share a whole window, so
-they are guaranteed to share its fingerprint. Positions are joined on the fingerprint together with the hash of the window
-around it, so one join row per occurrence leads to the first occurrence and no pairs of occurrences are made. Windows that
-grow to the right from each line and to the left from each line extend a match both ways: together they cover exactly the
+``min_words`` words; a line that has them alone is a window by itself. Of each window the smallest line hash is selected;
+the positions so selected are the document's fingerprints, fewer than its lines, and two documents that share a run of at
+least ``min_words`` words are guaranteed to share one. Positions are joined on the fingerprint alone; one that occurs only
+once ends there. Around the others the match is extended to both sides, over the windows that the position is the least
+of, grown to the right from each line and to the left from each line, and verified on all their line hashes: each window
+leads to its first occurrence, so no pairs of occurrences are made. Overlapping windows of both kinds cover exactly the
 lines of every shared run. Of a run the first occurrence, by document id and line, stays; later ones are deleted.
 """
 
@@ -35,14 +36,15 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return own.withColumns({"e": F.sum("n").over(so_far), "o": F.count("*").over(so_far)}).withColumn("s", F.col("e") - F.col("n"))
 
 
-def windows(line: DataFrame, min_words: int) -> DataFrame:
-    """Every window of every document: fingerprint f, window hashes a and b, and first and last line, each as (o, p)."""
+def positions(line: DataFrame, min_words: int) -> DataFrame:
+    """Selected positions: fingerprint (h, g) of the line, its document (d, t) and number o, and the windows it is the least
+    of: content hashes a and b, first and last line, each as (o, p)."""
     right = Window.partitionBy("d", "t").orderBy("s").rangeBetween(0, min_words - 1)
     left = Window.partitionBy("d", "t").orderBy("e").rangeBetween(-(min_words - 1), 0)
 
     def reach(frame) -> Column:
         return F.struct(
-            F.min(F.struct("h", "g", "p")).over(frame).alias("least"),
+            F.min(F.struct("h", "g", "o")).over(frame).alias("least"),
             F.collect_list(F.struct("h", "g")).over(frame).alias("content"),
             F.min(F.struct("o", "p")).over(frame).alias("first"),
             F.max(F.struct("o", "p")).over(frame).alias("last"),
@@ -60,22 +62,23 @@ def windows(line: DataFrame, min_words: int) -> DataFrame:
         )).alias("w"),
     ).where(F.col("w.new") & (F.col("w.r.e") - F.col("w.r.s") >= min_words))
     content = F.col("w.r.content")
-    return found.select(
-        "d", "t",
-        F.xxhash64("w.r.least.h", "w.r.least.g").alias("f"),
-        F.xxhash64(content).alias("a"),
-        F.xxhash64(F.lit(7), content).alias("b"),
-        F.col("w.r.first").alias("first"),
-        F.col("w.r.last").alias("last"),
-    )
+    window = F.struct(F.xxhash64(content).alias("a"), F.xxhash64(F.lit(7), content).alias("b"), F.col("w.r.first").alias("first"), F.col("w.r.last").alias("last"))
+    return found.groupBy("d", "t", F.col("w.r.least.o").alias("o")).agg(F.first("w.r.least.h").alias("h"), F.first("w.r.least.g").alias("g"), F.collect_list(window).alias("windows"))
+
+
+def joined_positions(position: DataFrame) -> DataFrame:
+    """The positions whose fingerprint occurs at another position too. Counts are combined before they are shuffled, and
+    adaptive execution may split the positions of a frequent fingerprint, as nothing is grouped by it."""
+    repeated = position.groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    return position.join(repeated, ["h", "g"])
 
 
-def repeated_runs(window: DataFrame) -> DataFrame:
+def repeated_runs(position: DataFrame) -> DataFrame:
     """Per document the disjoint runs of lines to delete, in order."""
-    key = ["f", "a", "b"]
-    here = F.struct("d", "t", "first.o")
-    origin = window.groupBy(*key).agg(F.min(here).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = window.join(origin, key).where(here != F.col("origin")).select("d", "t", "first", "last")  # (o, p) orders as o does
+    window = joined_positions(position).select("d", "t", F.explode("windows").alias("w")).select("d", "t", "w.*")
+    here = F.struct("d", "t", "first", "last")
+    origin = window.groupBy("a", "b").agg(F.min(here).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = window.join(origin, ["a", "b"]).where(here != F.col("origin")).select("d", "t", "first", "last")  # (o, p) orders as o does
     order = Window.partitionBy("d", "t").orderBy("first", "last")
     reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("first.o") <= F.col("reached.o") + 1, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -91,7 +94,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     Very frequent lines are combined before they are shuffled; the join that takes a run to its first occurrence is one
     that adaptive execution splits. Columns called like the new ones, or d, t and runs, must be renamed first.
     """
-    runs = repeated_runs(windows(lines(docs, id_col, text_col), min_words))
+    runs = repeated_runs(positions(lines(docs, id_col, text_col), min_words))
     clash = {"lines_total", "lines_deleted", "d", "t", "runs"} & set(docs.columns)
     if clash:
         raise ValueError(f"the input has columns named {sorted(clash)}")
