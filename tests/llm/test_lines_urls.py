@@ -65,7 +65,9 @@ def test_line_dedup_odd_rows(spark):
         D.dedup_lines(df.withColumnRenamed("doc_id", "t"), id_col="t")
 
 
-def brute_urls(pages, rounds=8, damping=0.85, threshold=0.1):
+def brute_urls(pages, damping=0.85, tolerance=1e-3, threshold=0.5, trusted=1.0):
+    """Verdicts from dense score tables, a seed's own score in full and every round over all edges."""
+
     def parts(url):
         if url is None or "://" not in url:
             return "", ""
@@ -79,38 +81,41 @@ def brute_urls(pages, rounds=8, damping=0.85, threshold=0.1):
         fits = [r for r in U.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
         rows[i] = (host, path, max(fits, key=lambda r: len(r.text), default=None), html or "")
     hosts = {h for h, _, _, _ in rows.values() if h}
-    seeds = [{}, {}]
+    good, bad = set(), set()
+    by_host = {}
+    for h, _, r, _ in rows.values():
+        by_host.setdefault(h, []).append(r and r.verdict)
     for h in hosts:
-        own = [r for x, _, r, _ in rows.values() if x == h]
-        a, b = sum(r is not None and r.verdict == "allow" for r in own), sum(r is not None and r.verdict == "block" for r in own)
+        own = by_host[h]
+        a, b = own.count("allow"), own.count("block")
         if a > b:
-            seeds[0][h] = 1.0
+            good.add(h)
         elif b > a and 2 * b >= len(own):
-            seeds[1][h] = 1.0
-    edges = {}
+            bad.add(h)
+    links = {}
     for h, _, _, html in rows.values():
-        for link in re.findall(r"href=\"([^\"]+://[^\"]*)\"", html):
-            to = parts(link)[0]
+        for link in re.findall(r"href=\"((?:http:)?//[^\"]*)\"", html):
+            to = parts(link if "://" in link else "x:" + link)[0]
             if h and to and h != to:
-                edges[h, to] = edges.get((h, to), 0) + 1
-    score = []
-    for side in (0, 1):
-        own = {(k if side == 0 else k[::-1]): n for k, n in edges.items()}
-        total = {}
-        for (a, _), n in own.items():
-            total[a] = total.get(a, 0) + n
-        now = dict(seeds[side])
-        for _ in range(rounds):
-            new = {h: (1 - damping) * m for h, m in seeds[side].items()}
-            for (a, b), n in own.items():
-                if a in now:
-                    new[b] = new.get(b, 0) + damping * now[a] * n / total[a]
-            now = new
-        score.append(now)
+                links.setdefault(h, []).append(to)
+    trust = dict.fromkeys(good, 1 - damping)
+    distrust = dict.fromkeys(bad, 1.0)
+    rounds = 1
+    while damping**rounds > tolerance:
+        rounds += 1
+    for _ in range(rounds):
+        new = dict.fromkeys(good, 1 - damping)
+        for h, score in trust.items():
+            for to in links.get(h, []):
+                new[to] = new.get(to, 0) + damping * score / len(links[h])
+        trust = new
+        distrust = {h: damping * sum(distrust.get(to, 0) for to in out) / len(out) for h, out in links.items() if h not in bad} | dict.fromkeys(bad, 1.0)
+    mean = sum(trust.get(h, 0) for h in hosts) / max(len(hosts), 1) or 1
     out = {}
     for i, (h, p, r, _) in rows.items():
-        t, d = score[0].get(h, 0), score[1].get(h, 0)
-        out[i] = (h, p, r.text if r else None, r.verdict if r else "block" if d >= threshold and d > t else "allow")
+        t, d = trust.get(h, 0) / mean, distrust.get(h, 0)
+        assert abs(d - threshold) > 1e-6 and abs(t - trusted) > 1e-6, "a host on the threshold"
+        out[i] = (h, p, r.text if r else None, r.verdict if r else "block" if h and d >= threshold and t < trusted else "allow")
     return out
 
 
@@ -132,3 +137,34 @@ def test_url_filter(spark):
     verdicts = {r.verdict for r in rows if r.rule is None and r.host}
     assert verdicts == {"allow", "block"}
     assert U.filter_urls(df.where("false")).collect() == []
+
+
+def link(*hosts):
+    return "".join(f'<a href="http://{h}/">' for h in hosts)
+
+
+def test_url_filter_on_farms_and_chains(spark):
+    """Distrust fades with the distance from a blocked host, not with the number of those that link to it."""
+    pages = [(k, f"http://bad{k}.net/", "") for k in range(3)]
+    pages += [(10 + k, f"http://farm{k}.io/", link("bad0.net", "bad1.net", "bad2.net")) for k in range(50)]
+    pages += [(100, "http://c0.io/", '<a href="//bad0.net/x">')] + [(100 + k, f"http://c{k}.io/", link(f"c{k - 1}.io")) for k in range(1, 9)]
+    pages += [(200, "http://fine.io/", link("bad0.net", *(f"x{k}.io" for k in range(9))))]
+    pages += [(300, "http://good.org/fr/", link("noted.io")), (301, "http://noted.io/", link("bad1.net"))]
+    got = {r.page_id: r for r in U.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(got[10 + k].verdict == "block" and abs(got[10 + k].distrust - 0.85) < 1e-6 for k in range(50))
+    assert [got[100 + k].verdict for k in range(9)] == ["block"] * 4 + ["allow"] * 5
+    assert [round(got[100 + k].distrust, 6) for k in range(9)] == [round(0.85 ** (k + 1), 6) for k in range(9)]
+    assert got[200].verdict == "allow" and got[301].verdict == "allow" and got[301].trust > 1
+
+
+def test_url_filter_on_a_graph_of_thousands_of_hosts(spark):
+    rng = random.Random(12)
+    name = lambda k: f"h{k}." + ("net" if k % 20 == 0 else "org" if k % 20 == 1 else "io")
+    pages = []
+    for k in range(3000):
+        near = [name((k // 20) * 20 + rng.randint(0, 19)) for _ in range(3)] if k % 3 else [name((k // 20) * 20)] * 4
+        pages.append((k, f"http://{name(k)}/{'fr/' if k % 20 == 1 else ''}", link(*near, name(rng.randint(0, 300)))))
+    rows = U.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()
+    want = brute_urls(pages)
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows} == want
+    assert len({r.page_id for r in rows if r.rule is None and r.verdict == "block"}) > 100
