@@ -1,9 +1,12 @@
 """Exact top-k search by Fagin's threshold algorithm over sorted per-dimension lists.
 
-Vectors are dealt into blocks of bounded size; each block sorts its rows by every dimension, once ascending and once
-descending. A query walks all lists at once, in the direction of its component's sign, and scores each row when it first
-appears in any list. No row that hasn't appeared can score more than the threshold, the query's product with the values
-now reached; when that cannot beat the k-th result (nor tie with it) the block is done. The best of all blocks are merged.
+Vectors are dealt into blocks of bounded size; each block's rows are sorted by every dimension once, and the lists travel
+with the block. A query walks all lists at once, from the end that its component's sign favours, and scores each row when
+it first appears in any list. No row that hasn't appeared can score more than the threshold, the query's product with the
+values now reached; when that cannot beat the k-th result (nor tie with it) the block is done. A task takes several blocks
+in turn and starts each from the k-th result so far, so the depth to walk is known beforehand, and a block whose extremes
+cannot reach it is passed over. Where the walk would see most of a block, what is left is scored in one matrix product.
+The best of all tasks are merged.
 """
 
 from __future__ import annotations
@@ -14,10 +17,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 64
-BLOCK, QUERIES = 16_384, 1_024  # rows of a block of vectors, and of queries
+BLOCK, LANE, QUERIES = 4_096, 8, 1_024  # rows of a block of vectors, blocks that a task takes in turn, rows of a block of queries
 FIRST_DEPTH = 16
 SCHEMA = "query_id long, vec_id long, score long"
-PACKED = "block long, ids binary, kind string, width int, body binary"
+PACKED = "block long, ids binary, kind string, width int, body binary, lists binary"
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -30,8 +33,9 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
-def pack(rows: DataFrame, size: int, n: int) -> DataFrame:
-    """Blocks of about ``size`` rows as matrices of the smallest integer type that holds them, rows in ascending id."""
+def pack(rows: DataFrame, size: int, n: int, with_lists: bool) -> DataFrame:
+    """Blocks of about ``size`` rows as matrices of the smallest integer type that holds them, rows in ascending id, and if
+    asked for each dimension's list of rows in ascending order."""
     blocks = max(1, -(-n // size))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -42,104 +46,159 @@ def pack(rows: DataFrame, size: int, n: int) -> DataFrame:
             matrix[k, : len(v)] = v
         most = int(np.abs(matrix).max(initial=0))
         kind = next(t for t, limit in (("i1", 127), ("i2", 32767), ("i4", 2**31 - 1), ("i8", 2**63)) if most <= limit)
-        return pd.DataFrame([[pdf["block"].iloc[0], pdf["vec_id"].to_numpy(np.int64).tobytes(), kind, width, matrix.astype(kind).tobytes()]], columns=["block", "ids", "kind", "width", "body"])
+        matrix = matrix.astype(kind)
+        lists = sorted_lists(matrix).tobytes() if with_lists else b""
+        return pd.DataFrame([[pdf["block"].iloc[0], pdf["vec_id"].to_numpy(np.int64).tobytes(), kind, width, matrix.tobytes(), lists]], columns=["block", "ids", "kind", "width", "body", "lists"])
 
     return rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInPandas(run, PACKED)
 
 
-def unpack(row, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, and the matrix with ``width`` columns."""
+def sorted_lists(matrix: np.ndarray) -> np.ndarray:
+    """Row numbers in ascending order of every dimension, one dimension a row."""
+    return np.argsort(matrix, axis=0, kind="stable").T.astype("<i4")
+
+
+def unpack(row, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Ids, the matrix with ``width`` columns and the lists of its dimensions, all rows in order for the added ones."""
     ids = np.frombuffer(row["ids"], np.int64)
     own = np.frombuffer(row["body"], row["kind"]).reshape(len(ids), row["width"]).astype(np.int64)
-    return ids, np.pad(own, ((0, 0), (0, width - own.shape[1])))
+    lists = None
+    if row["lists"]:
+        lists = np.frombuffer(row["lists"], "<i4").reshape(row["width"], len(ids))
+        lists = np.concatenate([lists, np.tile(np.arange(len(ids), dtype="<i4"), (width - row["width"], 1))])
+    return ids, np.pad(own, ((0, 0), (0, width - own.shape[1]))), lists
+
+
+class Best:
+    """The k best rows so far of each query; unused places hold the least score and no row."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.scores = np.full((queries, k), -np.inf)
+        self.ids = np.zeros((queries, k), np.int64)
+        self.exact = [[] for _ in range(queries)]  # scores as whole numbers
+
+    def kth(self) -> np.ndarray:
+        """A bound that the k-th score reaches: itself, or a little less where a double doesn't hold it."""
+        last = self.scores[:, -1]
+        return np.where(np.abs(last) < 2.0**53, last, last - 1e-9 * np.abs(last))
+
+    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Merge rows that no earlier block held; of equal scores the smaller ids stay."""
+        n = len(self.exact[q])
+        all_ids = np.concatenate([self.ids[q, :n], ids])
+        all_scores = np.concatenate([np.array(self.exact[q], np.int64), scores.astype(np.int64)])
+        order = np.lexsort((all_ids, -all_scores))[: self.k]
+        self.exact[q] = all_scores[order].tolist()
+        self.ids[q, : len(order)] = all_ids[order]
+        self.scores[q, : len(order)] = all_scores[order]
 
 
 class SortedLists:
     """A block's rows sorted by every dimension, for threshold searches."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray):
-        self.ids = ids  # ascending, so equal scores are ordered by row
+    def __init__(self, ids: np.ndarray, matrix: np.ndarray, lists: np.ndarray | None = None):
+        self.ids = ids  # ascending
         n, width = matrix.shape
-        self.rising = np.argsort(matrix, axis=0, kind="stable").T.astype(np.int32)
-        self.falling = np.argsort(-matrix, axis=0, kind="stable").T.astype(np.int32)
-        self.depths = [d for d in (FIRST_DEPTH << k for k in range(40)) if d < n] + [n]
-        last, columns = np.array(self.depths) - 1, np.arange(width)[:, None]
+        self.rising = sorted_lists(matrix) if lists is None else lists
+        self.falling = self.rising[:, ::-1]
+        self.depths = [0, *(d for d in (FIRST_DEPTH << k for k in range(40)) if d < n), n]
+        last, columns = np.maximum(np.array(self.depths) - 1, 0), np.arange(width)[:, None]
         self.lowest = matrix[self.rising[:, last], columns]  # value reached in each list at each depth
         self.highest = matrix[self.falling[:, last], columns]
         self.matrix = matrix
         self.most = int(np.abs(matrix).max(initial=0))
 
-    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-        """(query id, row id, score) of each query's k best rows, its own id left out; ties go to smaller ids."""
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, best: Best | None = None) -> list[tuple[int, int, int]]:
+        """(query id, row id, score) of each query's k best rows, its own id left out; ties go to smaller ids. With the
+        ``best`` of earlier blocks, these go on from it."""
+        best = best or Best(len(queries), k)
         bound = max(self.most, int(np.abs(queries).max(initial=0)), 1)
         kind = np.float32 if bound * bound * queries.shape[1] < 2**24 else np.float64 if bound * bound * queries.shape[1] < 2**53 else np.int64
-        matrix, queries = self.matrix.astype(kind), queries.astype(kind)
-        limits = np.where(queries > 0, queries, 0) @ self.highest.astype(kind) + np.where(queries < 0, queries, 0) @ self.lowest.astype(kind)
+        matrix, points = self.matrix.astype(kind), queries.astype(kind)
+        limits = np.where(points > 0, points, 0) @ self.highest.astype(kind) + np.where(points < 0, points, 0) @ self.lowest.astype(kind)
         own = np.searchsorted(self.ids, query_ids)
-        out = []
-        for q, (query_id, query, limit) in enumerate(zip(query_ids.tolist(), queries, limits, strict=True)):
-            mine = own[q] if own[q] < len(self.ids) and self.ids[own[q]] == query_id else -1
-            rows, scores = self._one(matrix, query, limit, mine, k)
-            out += [(query_id, i, s) for i, s in zip(self.ids[rows].tolist(), scores.astype(np.int64).tolist(), strict=True)]
-        return out
-
-    def _one(self, matrix: np.ndarray, query: np.ndarray, limit: np.ndarray, mine: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        mine = np.where((own < len(self.ids)) & (self.ids[np.minimum(own, len(self.ids) - 1)] == query_ids), own, -1)
+        kth = best.kth()
+        rest = []
+        for q in range(len(points)):
+            if limits[q, 0] < kth[q]:
+                continue
+            rows, scores, done = self._walk(matrix, points[q], limits[q], int(mine[q]), k, kth[q])
+            if done:
+                best.add(q, self.ids[rows], scores)
+            else:
+                rest.append(q)
+        if rest:
+            product = points[rest] @ matrix.T
+            for row, q in zip(product, rest, strict=True):
+                found = np.flatnonzero(row >= max(kth[q], _kth_of(row, k, int(mine[q]))))
+                found = found[found != mine[q]]
+                best.add(q, self.ids[found], row[found])
+        return [(int(query_ids[q]), int(best.ids[q, j]), s) for q in range(len(points)) for j, s in enumerate(best.exact[q])]
+
+    def _walk(self, matrix: np.ndarray, query: np.ndarray, limit: np.ndarray, mine: int, k: int, kth: float) -> tuple:
+        """Rows and scores that hold the block's share of the k best, and whether that is known: not if the walk would see
+        more than half of the block, or if no depth ends it and the k-th score of earlier blocks said so beforehand."""
         n = len(self.ids)
         up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        most = max(FIRST_DEPTH, n // (2 * max(len(up) + len(down), 1)))
+        if kth > -np.inf:
+            ends = np.flatnonzero(limit < kth)
+            if not len(ends) or self.depths[ends[0]] > most:
+                return None, None, False
         seen = np.zeros(n, bool)
-        scored = np.zeros(n, bool)
-        scores = np.zeros(n, query.dtype)
-        if mine >= 0:
-            scored[mine] = True
         before = 0
-        for step, depth in enumerate(self.depths):
+        for step, depth in enumerate(self.depths[1:], 1):
+            if depth > most:
+                return None, None, False
             seen[self.falling[up, before:depth]] = True
             seen[self.rising[down, before:depth]] = True
-            if depth == n:
-                seen[:] = True  # every list has ended (or the query is zero)
-            new = np.flatnonzero(seen & ~scored)
-            scores[new] = matrix[new] @ query
-            scored[new] = True
             before = depth
-            found = np.flatnonzero(seen)
-            found = found[found != mine]
-            if len(found) >= k:
-                kth = np.partition(scores[found], len(found) - k)[len(found) - k]
-                if kth > limit[step]:
-                    break
-        order = found if len(found) <= k else found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k]]
-        order = order[np.argsort(-scores[order], kind="stable")][:k]
-        return order, scores[order]
-
-
-def search_pair(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Threshold search of one block of queries in one block of vectors."""
+            if limit[step] < kth or (kth == -np.inf and np.count_nonzero(seen) > k):
+                found = np.flatnonzero(seen)
+                found = found[found != mine]
+                scores = matrix[found] @ query
+                if limit[step] < kth or (len(found) >= k and np.partition(scores, len(found) - k)[len(found) - k] > limit[step]):
+                    return found, scores, True
+        return None, None, False
+
+
+def _kth_of(row: np.ndarray, k: int, mine: int):
+    """A score that at least k rows but the query's own reach, or the least one."""
+    at = len(row) - k - (mine >= 0)
+    return np.partition(row, at)[at] if at >= 0 else row.min()
+
+
+def search_lane(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Threshold search of one block of queries in some blocks of vectors, one after another."""
     names = ["query_id", "vec_id", "score"]
     if left.empty or right.empty:
         return pd.DataFrame(columns=names, dtype=np.int64)
-    vectors, queries = left.iloc[0], right.iloc[0]
-    width = max(vectors["width"], queries["width"])
-    ids, matrix = unpack(vectors, width)
-    query_ids, points = unpack(queries, width)
-    return pd.DataFrame(SortedLists(ids, matrix).search(points, query_ids, k), columns=names, dtype=np.int64)
+    width = int(max(left["width"].max(), right["width"].max()))
+    query_ids, points, _ = unpack(right.iloc[0], width)
+    best, found = Best(len(points), k), []
+    for _, vectors in left.sort_values("block").iterrows():
+        found = SortedLists(*unpack(vectors, width)).search(points, query_ids, k, best)
+    return pd.DataFrame(found, columns=names, dtype=np.int64)
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` rows of largest inner product for each row whose id is divisible by ``every``: query_id, rank, vec_id, score.
 
     Fewer than ``k`` other rows give fewer results; shorter vectors count as ending in zeros; other columns aren't read.
-    Each pair of a block of vectors and a block of queries is one group, of bounded size whatever the data; a block
-    returns at most ``k`` rows a query, and the merge keeps ``k`` before it shuffles.
+    Some blocks of vectors and one block of queries are a group, of bounded size whatever the data; it returns at most
+    ``k`` rows a query, and the merge keeps ``k`` before it shuffles.
     """
     rows = quantised(vectors, id_col, vector_col)
     total = F.struct(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q"))
     n, q = rows.agg(total.alias("t")).first()["t"]
-    v_blocks, q_blocks = max(1, -(-n // BLOCK)), max(1, -(-q // QUERIES))
-    left = pack(rows, BLOCK, n).withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = pack(rows.where(F.col("vec_id") % every == 0), QUERIES, q).withColumnRenamed("block", "queries").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(v_blocks - 1))))
-    kind = {"block": F.col("block").cast("long"), "queries": F.col("queries").cast("long")}
-    pairs = left.withColumns(kind).groupBy("block", "queries").cogroup(right.withColumns(kind).groupBy("block", "queries"))
-    found = pairs.applyInPandas(lambda a, b: search_pair(a, b, k), SCHEMA)
+    lanes, q_blocks = -(-max(1, -(-n // BLOCK)) // LANE), max(1, -(-q // QUERIES))
+    left = pack(rows, BLOCK, n, True).withColumn("lane", F.floor(F.col("block") / LANE)).withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    right = pack(rows.where(F.col("vec_id") % every == 0), QUERIES, q, False).withColumnRenamed("block", "queries").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    kind = {"lane": F.col("lane").cast("long"), "queries": F.col("queries").cast("long")}
+    pairs = left.withColumns(kind).groupBy("lane", "queries").cogroup(right.withColumns(kind).groupBy("lane", "queries"))
+    found = pairs.applyInPandas(lambda a, b: search_lane(a, b, k), SCHEMA)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
