@@ -38,6 +38,9 @@ class UnionFind:
             self.parent[max(a, b)] = min(a, b)
 
 
+NODES = 250_000  # of a forest that a task holds
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges of a partition to one edge per node, to the node's root there; emptied now and then to bound memory."""
     sets = UnionFind()
@@ -49,7 +52,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             sets.union(u, v)
-        if len(sets.parent) > 1_000_000:
+        if len(sets.parent) > NODES:
             yield edges()
             sets = UnionFind()
     yield edges()
@@ -66,25 +69,33 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 ROWS = 100_000  # of a partition, at most about
+BROADCAST = 200_000  # edges, so nodes at most twice that, of a table that is broadcast
+
+
+def _with(edges: DataFrame, least: DataFrame, rows: int) -> DataFrame:
+    """Edges with their node's least neighbour: a broadcast where the edges were counted to be few, else a join that
+    adaptive execution may split at hubs."""
+    return edges.join(F.broadcast(least) if rows <= BROADCAST else least, "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (u, v) that isn't its own root: root is the smallest node reachable.
 
     Partition-wise union-find leaves one edge per node and partition. Alternating large and small stars then reroot every
-    node at its smallest neighbour until nothing changes: a logarithmic number of rounds of two exchanges, each stored in
-    the shared folder; of every round the driver sees two numbers per partition.
+    node at its smallest neighbour until nothing changes: a logarithmic number of rounds, each stored in the shared folder;
+    of every round the driver sees two numbers per partition. Neighbours are combined before they are shuffled, and no
+    node's edges are gathered in one task.
     """
     now, rows = compacted(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").mapInArrow(_forest, EDGE), ROWS)
     if not rows:
         return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     seen = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).repartition("u")
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        down = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition("u")
+        down = _with(both.where("v > u"), least, rows).select(F.col("v").alias("u"), F.col("m").alias("v"))
         lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lowest.select("u", F.col("m").alias("v")))
+        small = _with(down, lowest, rows).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(lowest.select("u", F.col("m").alias("v")))
         now = materialize(small.mapInArrow(_forest, EDGE))
         parts = now.mapInArrow(_digest, "rows long, total long").collect()
         rows = sum(p.rows for p in parts)

@@ -94,7 +94,7 @@ def sign(docs: DataFrame, k: int, lanes: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = P.buffers(batch.column(1))
-            for a, b in P.slices(offsets, 4 << 20):
+            for a, b in P.slices(offsets, 1 << 20):
                 sets, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 n = np.diff(bounds)
                 keys = [np.diff(np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets ^ salt))])[bounds]) for salt in (np.uint64(0), _STEP)]
@@ -116,7 +116,7 @@ def full_sets(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = P.buffers(batch.column(1))
-            for a, b in P.slices(offsets, 4 << 20):
+            for a, b in P.slices(offsets, 1 << 20):
                 sets, bounds = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], k)
                 body = [sets[s:e].tobytes() for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(body, pa.binary())], ["d", "set"])
