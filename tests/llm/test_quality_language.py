@@ -106,5 +106,30 @@ def test_rare_language_has_a_model(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
     got = {r.doc_id: (r.language, r.kept) for r in L.identify_documents(docs, train_rows=100).where("doc_id >= 5000").collect()}
     assert [got[k] for k in (*range(5000, 5008), 6000, 6001, 6002)] == [("el", True)] * 11
-    assert got[7000][0] != "xx"
+    assert got[7000] == ("xx", True)
+    judged = L.identify(docs, "doc_id", "text", F.col("lang"), F.lit(None), F.col("source"), train_rows=100, least_rows=5)
+    assert judged.where("doc_id = 7000").first().language != "xx"
     assert L.keep_identified(docs, train_rows=100).where("lang = 'el'").count() == 8
+
+
+def test_odd_rows_of_language_id(spark):
+    """Null ids are drawn by their texts, equal rows are judged alike, an equal case for two languages goes to the first name."""
+    words = {"en": "the words of this text", "de": "die Wörter dieses Textes"}
+    rows = [(None, f"{words[lang]} {k} " * 5, lang, "s") for k in range(60) for lang in words] + [(7, words["de"] * 9, "de", "s")] * 3
+    rows += [(8, "", None, None), (9, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = L.identify_documents(docs, train_rows=40).collect()
+    assert len(got) == len(rows)
+    assert sorted(r.language for r in got if r.doc_id is None) == ["de"] * 60 + ["en"] * 60
+    assert {(r.language, r.kept) for r in got if r.doc_id == 7} == {("de", True)}
+    assert {(r.language, r.kept) for r in got if r.doc_id in (8, 9)} == {("und", False)}
+    both = spark.createDataFrame([(1, "same words", "b", "s"), (2, "same words", "a", "s"), (3, "same words", None, None)], docs.schema)
+    assert L.identify_documents(both).where("doc_id = 3").first().language == "a"
+
+
+def test_long_text_is_scored_whole(spark):
+    """A text above the slice size counts with all its bytes."""
+    start, rest = "the words of this text are plain " * 1000, "die Wörter dieses Textes sind schlicht " * 60_000
+    rows = [(k, t, lang, "s") for k, (t, lang) in enumerate([("the words of this text are plain " * 30, "en"), ("die Wörter dieses Textes sind schlicht " * 30, "de")] * 5)]
+    docs = spark.createDataFrame([*rows, (100, start + rest, None, None)], "doc_id long, text string, lang string, source string")
+    assert L.identify_documents(docs).where("doc_id = 100").first().language == "de"

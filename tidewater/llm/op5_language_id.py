@@ -1,7 +1,7 @@
 """Language identification by Bayesian evidence fusion.
 
 Evidence of a document: the likelihood of its text under hashed byte-trigram models (trigrams of words only), the language its markup declares,
-the suffix of its address, and its host. Languages are those that enough rows of the whole corpus declare; their text models
+the suffix of its address, and its host. Languages are those that rows of the whole corpus declare; their text models
 are trained on a bounded sample of about ``train_rows`` rows, and of each language on ``LANGUAGE_ROWS`` at least or all it
 has, chosen by a hash of id and text. Everything else is grouped aggregation over all rows: how often a declared
 language or an address suffix goes with a text language, and per host the expected language counts, smoothed towards the
@@ -71,14 +71,15 @@ class Model:
 
 
 LANGUAGE_ROWS = 400
+TRAINERS = 8
 TABLES = 32  # count tables that a training task holds at once
 
 
-def train(docs: DataFrame, text: str, declared: str, key: str, train_rows: int, least_rows: int = 5) -> Model:
-    """Fit a trigram model for every language that ``least_rows`` of all rows declare, on a sample that has about its share
-    of ``train_rows`` rows or LANGUAGE_ROWS, whichever is more; tables are added up per language on the executors, so the
+def train(docs: DataFrame, text: str, declared: str, key: str, train_rows: int, least_rows: int = 1) -> Model:
+    """Fit a trigram model for every language that ``least_rows`` of all rows declare (by default every declared one; raise it
+    where declarations hold typing errors), on a sample that has about its share of ``train_rows`` rows or LANGUAGE_ROWS, whichever is more; tables are added up per language on the executors, so the
     driver receives one count table per language, whatever the sample's texts hold."""
-    known = docs.where(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.lower(F.col(declared)).alias("language"), F.xxhash64(key, text).alias("draw"))
+    known = docs.where(F.col(declared).isNotNull()).select(F.col(text).alias("text"), F.lower(F.col(declared)).alias("language"), F.xxhash64(key, text).alias("draw"))
     declaring = materialize(known.groupBy("language").agg(F.count("*").alias("n")))
     n, most = declaring.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     chosen = declaring.where(F.col("n") >= min(least_rows, most))
@@ -113,7 +114,8 @@ def train(docs: DataFrame, text: str, declared: str, key: str, train_rows: int,
         return pd.DataFrame([[part["language"].iloc[0], part["n"].sum(), total.tobytes()]], columns=part.columns)
 
     schema = "language string, n long, counts binary"
-    per_task = known.select("text", "language").coalesce(16).mapInArrow(count, schema)
+    # the scan keeps all its tasks; only the sample, of bounded size, moves to the few that count
+    per_task = known.where(F.col("text").isNotNull()).select("text", "language").repartition(TRAINERS).mapInArrow(count, schema)
     counts = {}
     for r in per_task.groupBy("language").applyInPandas(add, schema).collect():
         counts[r.language] = counts.get(r.language, 0) + np.frombuffer(r.counts, "<i8")
@@ -140,7 +142,7 @@ def evidence(docs: DataFrame, model: Model, text: str) -> DataFrame:
         for batch in batches:
             data, offsets = P.buffers(batch.column(at))
             out = np.zeros((batch.num_rows, width))
-            for a, b in P.slices(offsets, 4 << 20):
+            for a, b in P.slices(offsets, 1 << 20):
                 grams, own = letter_trigrams(data[offsets[a] : offsets[b]]), offsets[a : b + 1] - offsets[a]
                 for k in range(width - 1):
                     out[a:b, k] = weight * text_sums(model.table[k][grams], own)
@@ -226,17 +228,18 @@ def _labelled(docs: DataFrame, text: str, declared: Column, suffix: Column, host
 
 
 def identify(
-    docs: DataFrame, id_col: str, text: str, declared: Column, suffix: Column, host: Column, train_rows: int = 4000, least: float = 0.5
+    docs: DataFrame, id_col: str, text: str, declared: Column, suffix: Column, host: Column, train_rows: int = 4000, least: float = 0.5, least_rows: int = 1
 ) -> DataFrame:
     """Language of every row: doc_id, language, confidence, kept (a known language with at least ``least`` posterior).
 
     Null and empty texts carry no text evidence and are judged by the rest; with no evidence at all the language is
     ``und`` and the row isn't kept. Null declarations, suffixes and hosts are left out of the product. Without any
-    declared language to train on, everything is ``und``. Repeated rows are judged each; other columns aren't read. The
+    declared language to train on, everything is ``und``. Of languages equally likely the first by name counts. The draw is
+    a hash of id and text, so repeated rows are drawn together and rows without an id by their text. Repeated rows are judged each; other columns aren't read. The
     texts are read by one scoring pass (and a training pass over the sample); what it yields is stored without texts.
     """
     slim = _labelled(docs, text, declared, suffix, host, [F.col(id_col).cast("long").alias("doc_id")])
-    model = train(slim, "text", "declared", "doc_id", train_rows)
+    model = train(slim, "text", "declared", "doc_id", train_rows, least_rows)
     scored = materialize(evidence(slim, model, "text").drop("text"))
     return _verdict(fuse(scored, tables(scored, len(model.languages) + 1), model.languages), least)
 
