@@ -6,8 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = r"[\p{L}\p{N}_]"
-#: Letters with diacritics and what they fold to, place by place.
-MARKED, PLAIN = "ąćęłńóśźżáàâäãåçéèêëíìîïñòôöõúùûüýÿßœæ", "acelnoszzaaaaaaceeeeiiiinoooouuuuyyssoa"
+#: What letters with diacritics fold to, each with its own target.
+FOLDS = {
+    "ą": "a", "ć": "c", "ę": "e", "ł": "l", "ń": "n", "ó": "o", "ś": "s", "ź": "z", "ż": "z",
+    "á": "a", "à": "a", "â": "a", "ä": "a", "ã": "a", "å": "a", "ç": "c", "é": "e", "è": "e", "ê": "e", "ë": "e",
+    "ì": "i", "í": "i", "î": "i", "ï": "i", "ñ": "n", "ò": "o", "ô": "o", "ö": "o", "õ": "o",
+    "ú": "u", "ù": "u", "û": "u", "ü": "u", "ý": "y", "ÿ": "y", "ß": "ss", "œ": "oe", "æ": "ae",
+}
 
 
 def let(value: Column, body) -> Column:
@@ -22,7 +27,12 @@ def tokens(text: Column, least: int = 1) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case without diacritics."""
-    return F.translate(F.lower(text), MARKED[: len(PLAIN)], PLAIN)
+    single = {k: v for k, v in FOLDS.items() if len(v) == 1}
+    out = F.translate(F.lower(text), "".join(single), "".join(single.values()))
+    for letter, target in FOLDS.items():
+        if len(target) > 1:
+            out = F.replace(out, F.lit(letter), F.lit(target))
+    return out
 
 
 def squeeze(text: Column) -> Column:

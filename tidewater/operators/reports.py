@@ -5,8 +5,12 @@ Unknown stays unknown: NULL inputs make NULL results and are named, never counte
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,3 +173,71 @@ def jaccard_pairs(grams: DataFrame, id_col: str, least: float) -> DataFrame:
     x, y = (member.select(F.col("class").alias(f"c{k}"), F.col("id").alias(k)) for k in "ab")
     pairs = similar.join(x, "ca").join(y, "cb").where((F.col("ca") != F.col("cb")) | (F.col("a") < F.col("b")))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("score", 6).alias("jaccard"))
+
+
+def repeated(rows: DataFrame, keys: list[str], size: str, id_col: str, least: int = 2, examples: int = 3) -> DataFrame:
+    """Groups of at least ``least`` rows: count, largest and total size, and the smallest ids as examples. Groups are counted
+    before examples are taken, and each task keeps only the ids that are among its smallest."""
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("imports"), F.max(size).alias("largest"), F.sum(size).alias("total")).where(F.col("imports") >= least)
+    few = rows.join(groups.select(*keys), keys, "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(id_col))).where(F.col("_r") <= examples)
+    named = few.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(id_col)).cast("array<string>"), ",").alias("examples"))
+    return groups.join(named, keys)
+
+
+def weighted_vote(votes: DataFrame, unit: str, revision: str) -> DataFrame:
+    """Best revision of each unit by the sum of ``w`` times ``similarity``, with ``w`` again where ``unchanged``; scores within
+    1e-9 are equal, and then the earlier ``date`` wins, then the revision."""
+    score = F.sum(F.col("w") * F.col("similarity") + F.when(F.col("unchanged"), F.col("w")).otherwise(F.lit(0.0)))
+    sums = votes.groupBy(unit, revision).agg(F.min("date").alias("date"), score.alias("score"))
+    first = F.row_number().over(Window.partitionBy(unit).orderBy(F.desc(F.round("score", 9)), "date", revision))
+    return sums.withColumn("_r", first).where("_r = 1").select(unit, revision, F.round("score", 4).alias("score"))
+
+
+def cluster_summary(units: DataFrame, terms: DataFrame, cluster: str, id_col: str, time: str, k: int, samples: int) -> DataFrame:
+    """Per cluster its k most frequent terms, number of units, period and smallest ids."""
+    counted = terms.groupBy(cluster, "term").agg(F.count("*").alias("n"))
+    best = counted.withColumn("_r", F.row_number().over(Window.partitionBy(cluster).orderBy(F.desc("n"), "term"))).where(F.col("_r") <= k)
+    named = best.groupBy(cluster).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "term"))), lambda t: t["term"]), " ").alias("terms"))
+    few = units.withColumn("_r", F.row_number().over(Window.partitionBy(cluster).orderBy(id_col))).where(F.col("_r") <= samples)
+    sampled = few.groupBy(cluster).agg(F.array_join(F.sort_array(F.collect_list(id_col)).cast("array<string>"), ",").alias("samples"))
+    whole = units.groupBy(cluster).agg(F.count("*").alias("units"), F.min(time).alias("first"), F.max(time).alias("last"))
+    return whole.join(named, cluster).join(sampled, cluster)
+
+
+def _subtrees(value, pointer: str, out: list) -> None:
+    body = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    out.append((pointer, hashlib.sha256(body.encode()).hexdigest(), len(body.encode())))
+    members = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ()
+    for key, inner in members:
+        if isinstance(inner, (dict, list)):
+            _subtrees(inner, f"{pointer}/{str(key).replace('~', '~0').replace('/', '~1')}", out)
+
+
+def subtrees(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """Objects and arrays of each JSON text: (id, pointer, parent, digest of the canonical form, bytes)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for key, body in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
+                try:
+                    value = json.loads(body)
+                except (TypeError, ValueError):
+                    continue
+                found: list = []
+                _subtrees(value, "", found)
+                rows += [(key, p, p.rsplit("/", 1)[0] if p else None, h, n) for p, h, n in found]
+            yield pd.DataFrame(rows, columns=["id", "pointer", "parent", "digest", "bytes"])
+
+    return docs.select(F.col(id_col).alias("id"), text).mapInPandas(run, "id long, pointer string, parent string, digest string, bytes long")
+
+
+def repeated_subtrees(docs: DataFrame, id_col: str, text: str, least_bytes: int = 64) -> DataFrame:
+    """Subtrees of at least ``least_bytes`` that occur more than once, outermost only: an occurrence counts if its parent
+    doesn't repeat. Digest, occurrences that count, documents, bytes of one, and bytes that one copy would save."""
+    every = materialize(subtrees(docs, id_col, text))
+    often = every.where(F.col("bytes") >= least_bytes).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    hit = every.join(often, "digest")
+    outer = hit.join(hit.select("id", F.col("pointer").alias("parent")), ["id", "parent"], "left_anti")
+    groups = outer.groupBy("digest").agg(F.count("*").alias("occurrences"), F.countDistinct("id").alias("documents"), F.max("bytes").alias("bytes"))
+    return groups.where("occurrences > 1").withColumn("redundant", (F.col("occurrences") - 1) * F.col("bytes"))

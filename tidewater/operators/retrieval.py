@@ -34,10 +34,10 @@ def vocabulary(index: DataFrame, n_docs: Column, id_col: str, size: int = VOCABU
     return kept.select("term", "df", (F.ln((n_docs + 1.0) / (F.col("df") + 1.0)) + 1.0).alias("idf"))
 
 
-def tfidf(corpus: DataFrame, query: DataFrame, id_col: str, text_col: str, query_col: str, size: int = VOCABULARY) -> DataFrame:
-    """Cosine of raw-tf tf-idf vectors over a bounded vocabulary; ``query`` has one row."""
-    n = F.lit(corpus.count())  # all documents, token-less ones too
-    index = postings(corpus, id_col, text_col)
+def tfidf(index: DataFrame, n: int, query: DataFrame, id_col: str, query_col: str, size: int = VOCABULARY) -> DataFrame:
+    """Cosine of raw-tf tf-idf vectors over a bounded vocabulary, from an inverted index (id, term, tf) of ``n`` documents,
+    token-less ones too; ``query`` has one row."""
+    n = F.lit(n)
     terms = F.broadcast(vocabulary(index, n, id_col, size))
     weights = index.join(terms, "term").select(id_col, "term", (F.col("tf") * F.col("idf")).alias("w"))
     asked = query.select(F.explode(fx.tokens(F.col(query_col), 2)).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
@@ -47,25 +47,13 @@ def tfidf(corpus: DataFrame, query: DataFrame, id_col: str, text_col: str, query
     return scored.where("dot > 0").join(F.broadcast(unit)).select(id_col, F.round(F.col("dot") / F.col("norm") / F.col("qn"), 6).alias("score"))
 
 
-def bm25(corpus: DataFrame, query: DataFrame, id_col: str, text_col: str, query_col: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 with query terms counted as often as they are asked; only postings of asked terms are shuffled."""
-    counted = corpus.select(id_col, fx.tokens(F.col(text_col)).alias("t")).withColumn("len", F.size("t"))
-    asked = query.select(F.explode(fx.tokens(F.col(query_col))).alias("term")).groupBy("term").agg(F.count("*").alias("qf"))
-    whole = counted.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    hits = counted.select(id_col, "len", F.explode("t").alias("term")).join(F.broadcast(asked), "term").groupBy(id_col, "len", "term", "qf").agg(F.count("*").alias("tf"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    saturated = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    joined = hits.join(F.broadcast(df), "term").join(F.broadcast(whole))
-    return joined.groupBy(id_col).agg(F.round(F.sum(F.col("qf") * idf * saturated), 6).alias("score"))
-
-
 def keyword(corpus: DataFrame, query: DataFrame, id_col: str, text_col: str, query_col: str) -> DataFrame:
     """Share of the distinct query tokens that occur as substrings."""
-    asked = F.broadcast(query.select(F.array_distinct(fx.tokens(F.col(query_col))).alias("asked")))
-    low = F.lower(F.col(text_col))
-    found = F.size(F.filter("asked", lambda t: F.contains(low, t)))
-    return corpus.join(asked).select(id_col, F.round(found / F.size("asked"), 6).alias("score"))
+    asked = query.select(F.array_distinct(fx.tokens(F.col(query_col))).alias("asked")).first()["asked"]
+    # one flag per word over one lower-cased column: plain codegen, nothing is computed per array element
+    found = reduce(Column.__add__, (F.contains("_low", F.lit(t)).cast("int") for t in asked), F.lit(0))
+    low = corpus.select(id_col, F.lower(F.col(text_col)).alias("_low"))
+    return low.select(id_col, F.round(found / len(asked), 6).alias("score"))
 
 
 def overlap(corpus: DataFrame, query: DataFrame, id_col: str, text_col: str, query_col: str) -> DataFrame:

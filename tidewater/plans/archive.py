@@ -185,7 +185,11 @@ def transcript_turns(spark, sf_dir):
     return A.transcript(A.export_lines(_t(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text"), "conv_id", "body")
 
 
-@query("column_folding", f"SELECT doc_id, length(translate(lower(text), '{fx.MARKED}', '{fx.PLAIN}')) AS folded, md5(translate(lower(text), '{fx.MARKED}', '{fx.PLAIN}')) AS digest FROM documents")
+@query(
+    "column_folding",
+    """WITH f AS (SELECT doc_id, replace(replace(replace(translate(lower(text), 'àáâãäåąćçèéêëęìíîïłñńòóôõöśùúûüýÿźż', 'aaaaaaacceeeeeiiiilnnooooosuuuuyyzz'), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae') AS t FROM documents)
+ SELECT doc_id, length(t) AS folded, md5(t) AS digest FROM f""",
+)
 def column_folding(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.length(fx.fold(F.col("text"))).cast("long").alias("folded"), F.md5(fx.fold(F.col("text"))).alias("digest"))
 

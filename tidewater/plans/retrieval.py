@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text as fx
 from tidewater.operators import retrieval as R
+from tidewater.operators.index import Ask, TextIndex
 from tidewater.plans.registry import query, table
 
+_FOLD = "replace(replace(replace(translate(lower({0}), 'àáâãäåąćçèéêëęìíîïłñńòóôõöśùúûüýÿźż', 'aaaaaaacceeeeeiiiilnnooooosuuuuyyzz'), 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae')"
 _QUERY_SQL = "q AS (SELECT array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS q FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark))"
 
 
@@ -17,6 +19,31 @@ def _asked(spark, sf_dir):
     return items.orderBy("item_id").limit(1).select(F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("q"))
 
 
+_INDEXES: dict[tuple, TextIndex] = {}
+
+
+def index_of(spark, sf_dir) -> TextIndex:
+    """The documents' index: built on first use in a session, then read by every search; built anew if the files change."""
+    docs = table(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(sorted(docs.inputFiles())))
+    if key not in _INDEXES:
+        _INDEXES[key] = TextIndex.build(docs, "doc_id", "text")
+    return _INDEXES[key]
+
+
+def _terms(spark, sf_dir):
+    """(doc_id, term, tf) for terms of two signs or more."""
+    return index_of(spark, sf_dir).document_terms().where(F.length("term") >= 2).withColumnRenamed("id", "doc_id")
+
+
+def _words(spark, sf_dir) -> str:
+    return _asked(spark, sf_dir).first()["q"]
+
+
+def _tfidf(spark, sf_dir):
+    return R.tfidf(_terms(spark, sf_dir), index_of(spark, sf_dir).documents().count(), _asked(spark, sf_dir), "doc_id", "q")
+
+
 _BM25_SQL = f"""{_QUERY_SQL},
  d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS t FROM documents),
  whole AS (SELECT count(*) AS n, avg(len(t)) AS al FROM d),
@@ -39,13 +66,12 @@ _KEYWORD_SQL = f"""{_QUERY_SQL}, a AS (SELECT list_distinct(regexp_extract_all(l
 
 @query("tfidf_topk", f"WITH {_TFIDF_SQL} SELECT doc_id, score FROM tfidf WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 5")
 def tfidf_topk(spark, sf_dir):
-    scored = R.tfidf(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), "doc_id", "text", "q")
-    return R.top(scored, 5, "doc_id", least=0.0)
+    return R.top(_tfidf(spark, sf_dir), 5, "doc_id", least=0.0)
 
 
 @query("bm25_topk", f"WITH {_BM25_SQL} SELECT doc_id, score FROM bm WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
 def bm25_topk(spark, sf_dir):
-    return R.top(R.bm25(table(spark, sf_dir, "documents"), _asked(spark, sf_dir), "doc_id", "text", "q"), 10, "doc_id", least=0.0)
+    return index_of(spark, sf_dir).bm25(_words(spark, sf_dir), 10).withColumnRenamed("id", "doc_id")
 
 
 @query("keyword_topk", f"WITH {_KEYWORD_SQL} SELECT doc_id, score FROM kw WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10")
@@ -55,8 +81,8 @@ def keyword_topk(spark, sf_dir):
 
 @query(
     "lexical_overlap",
-    f"""WITH {_QUERY_SQL}, f AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(translate(lower(text), '{fx.MARKED}', '{fx.PLAIN}'), '[\\p{{L}}\\p{{N}}_]+')) AS own FROM conversations),
- a AS (SELECT list_distinct(regexp_extract_all(translate(lower(q), '{fx.MARKED}', '{fx.PLAIN}'), '[\\p{{L}}\\p{{N}}_]+')) AS asked FROM q)
+    f"""WITH {_QUERY_SQL}, f AS (SELECT conv_id, turn, list_distinct(regexp_extract_all({_FOLD.format('text')}, '[\\p{{L}}\\p{{N}}_]+')) AS own FROM conversations),
+ a AS (SELECT list_distinct(regexp_extract_all({_FOLD.format('q')}, '[\\p{{L}}\\p{{N}}_]+')) AS asked FROM q)
  SELECT conv_id * 1000 + turn AS msg_id, CASE WHEN len(own) = 0 THEN 'unrepresentable' ELSE 'scored' END AS status,
  CASE WHEN len(own) > 0 THEN round(len(list_intersect(own, asked)) / len(asked), 6) END AS score FROM f CROSS JOIN a""",
 )
@@ -77,11 +103,52 @@ def like_search(spark, sf_dir):
  SELECT doc_id, CAST(a AS BIGINT) AS exact_hits, CAST(b AS BIGINT) AS prefix_hits FROM m WHERE a > 0 AND b > 0""",
 )
 def fts_prefix_search(spark, sf_dir):
-    t = fx.tokens(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", F.size(F.filter(t, lambda x: x == "the")).cast("long").alias("exact_hits"), F.size(F.filter(t, lambda x: x.startswith("licen"))).cast("long").alias("prefix_hits")
-    )
-    return rows.where("exact_hits > 0 and prefix_hits > 0")
+    rows = index_of(spark, sf_dir).postings([Ask("the"), Ask("licen", True)])
+    hits = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("tf"))), F.lit(0))
+    found = rows.groupBy(F.col("id").alias("doc_id")).agg(hits(F.col("term") == "the").alias("exact_hits"), hits(F.col("term").startswith("licen")).alias("prefix_hits"))
+    return found.where("exact_hits > 0 and prefix_hits > 0")
+
+
+_MATCH_SQL = """m AS (SELECT doc_id, len(list_filter(t, lambda x: x = 'of')) AS a, len(list_filter(t, lambda x: starts_with(x, 'th'))) AS b FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t FROM d))
+ SELECT doc_id, (a + b)::BIGINT AS hits FROM m WHERE a > 0 AND b > 0"""
+
+
+@query("fts_match", f"WITH d AS (SELECT * FROM documents), {_MATCH_SQL}")
+def fts_match(spark, sf_dir):
+    """All words, the last a prefix."""
+    return index_of(spark, sf_dir).match("of th*").withColumnRenamed("id", "doc_id")
+
+
+@query(
+    "fts_filtered",
+    f"WITH {_BM25_SQL} SELECT doc_id, score, CASE WHEN instr(lower(text), 'the') > 0 THEN substring(text, greatest(instr(lower(text), 'the') - 60, 1), 10) ELSE substring(text, 1, 10) END AS head FROM (SELECT bm.* FROM bm JOIN documents USING (doc_id) WHERE lang = 'en' AND score > 0 ORDER BY score DESC, doc_id LIMIT 10) JOIN documents USING (doc_id)",
+)
+def fts_filtered(spark, sf_dir):
+    """Search within one language, with the text around a hit."""
+    docs = table(spark, sf_dir, "documents")
+    found = index_of(spark, sf_dir).bm25(_words(spark, sf_dir), 10, docs.where("lang = 'en'").select(F.col("doc_id").alias("id"))).withColumnRenamed("id", "doc_id")
+    at = F.instr(F.lower("text"), F.lit("the"))
+    head = F.when(at > 0, F.substring(F.col("text"), F.greatest(at - 60, F.lit(1)), F.lit(10))).otherwise(F.substring("text", 1, 10))
+    return found.join(docs, "doc_id").select("doc_id", "score", head.alias("head"))
+
+
+@query("index_update", f"WITH d AS (SELECT doc_id, CASE WHEN lang = 'en' THEN text || ' of thimble' ELSE text END AS text FROM documents), {_MATCH_SQL}")
+def index_update(spark, sf_dir):
+    """An index of English documents that gets all others, and new texts of the English ones."""
+    docs = table(spark, sf_dir, "documents")
+    index = TextIndex.build(docs.where("lang = 'en'"), "doc_id", "text")
+    index.update(docs.withColumn("text", F.when(F.col("lang") == "en", F.concat("text", F.lit(" of thimble"))).otherwise(F.col("text"))), "doc_id", "text")
+    return index.match("of th*").withColumnRenamed("id", "doc_id")
+
+
+@query("index_removal", f"WITH d AS (SELECT * FROM documents WHERE lang <> 'en' OR source = 'src1'), {_MATCH_SQL}")
+def index_removal(spark, sf_dir):
+    """Removed documents are found no more, unless they come back."""
+    docs = table(spark, sf_dir, "documents")
+    index = TextIndex.build(docs, "doc_id", "text")
+    index.remove(docs.where("lang = 'en'"), "doc_id")
+    index.update(docs.where("lang = 'en' and source = 'src1'"), "doc_id", "text")
+    return index.match("of th*").withColumnRenamed("id", "doc_id")
 
 
 @query(
@@ -119,10 +186,10 @@ def embedding_topk(spark, sf_dir):
 def _channels(spark, sf_dir):
     docs, asked = table(spark, sf_dir, "documents"), _asked(spark, sf_dir)
     best = lambda scored: R.top(scored, 50, "doc_id", least=0.0)
-    return [R.ranked(best(R.bm25(docs, asked, "doc_id", "text", "q")), "bm25", "doc_id"), R.ranked(best(R.keyword(docs, asked, "doc_id", "text", "q")), "keyword", "doc_id")]
+    return [R.ranked(index_of(spark, sf_dir).bm25(_words(spark, sf_dir), 50).withColumnRenamed("id", "doc_id"), "bm25", "doc_id"), R.ranked(best(R.keyword(docs, asked, "doc_id", "text", "q")), "keyword", "doc_id")]
 
 
-_CHANNELS_SQL = f"""WITH {_BM25_SQL}, {_KEYWORD_SQL.split(", ", 1)[1] if False else _KEYWORD_SQL[len(_QUERY_SQL) + 2 :]},
+_CHANNELS_SQL = f"""WITH {_BM25_SQL}, {_KEYWORD_SQL[len(_QUERY_SQL) + 2 :]},
  c1 AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm WHERE score > 0 QUALIFY rank <= 50),
  c2 AS (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM kw WHERE score > 0 QUALIFY rank <= 50),
  u AS (SELECT 2.0 AS w, * FROM c1 UNION ALL SELECT 1.0 AS w, * FROM c2)"""
@@ -170,7 +237,7 @@ _TF_SQL = "tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnes
 
 @query("term_stats", f"WITH {_TF_SQL} SELECT term, CAST(sum(tf) AS BIGINT) AS total, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 3")
 def term_stats(spark, sf_dir):
-    index = R.postings(table(spark, sf_dir, "documents"), "doc_id", "text", 3)
+    index = _terms(spark, sf_dir).where(F.length("term") >= 3)
     return index.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df")).where("df >= 3")
 
 
@@ -181,8 +248,7 @@ def term_stats(spark, sf_dir):
  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term) AS rank, term, weight FROM w QUALIFY rank <= 5""",
 )
 def salient_terms(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return R.salient(R.postings(docs, "doc_id", "text", 3), "doc_id", docs.count(), 5)
+    return R.salient(_terms(spark, sf_dir).where(F.length("term") >= 3), "doc_id", index_of(spark, sf_dir).documents().count(), 5)
 
 
 @query(
@@ -194,7 +260,7 @@ def salient_terms(spark, sf_dir):
 )
 def vocab_expansion(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return R.expansion(R.postings(docs, "doc_id", "text", 3), R.like(docs, ["license"], "text").select("doc_id"), "doc_id", 25)
+    return R.expansion(_terms(spark, sf_dir).where(F.length("term") >= 3), R.like(docs, ["license"], "text").select("doc_id"), "doc_id", 25)
 
 
 @query(
