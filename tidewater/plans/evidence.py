@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewater.functions import scalars as S
 from tidewater.operators import evidence as E
 from tidewater.plans.registry import query, table
 
@@ -111,32 +112,32 @@ def area_memberships(spark, sf_dir):
     return E.memberships(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("unit"), F.col("o_orderpriority").alias("entity")), areas, 0.5)
 
 
-_PART_TERMS = "t AS (SELECT DISTINCT p_partkey AS id, unnest(string_split(lower(p_name || ' ' || p_type), ' ')) AS term FROM part WHERE p_size <= 3)"
+_ITEM_TERMS = r"t AS (SELECT DISTINCT item_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '\p{N}*\p{L}[\p{L}\p{N}+#]*'), lambda x: length(x) >= 7)) AS term FROM benchmark)"
 
 
-def _part_terms(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size <= 3")  # the operators of a small size class
-    return p.select(F.col("p_partkey").alias("id"), F.explode(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("term")).distinct()
+def _item_terms(spark, sf_dir):
+    words = F.filter(S.word_tokens(F.col("text")), lambda t: F.length(t) >= 7)
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.explode(words).alias("term")).distinct()
 
 
 @query(
     "weighted_similarity",
-    f"""WITH {_PART_TERMS}, n AS (SELECT count(DISTINCT id) AS n FROM t), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1), w AS (SELECT id, term, ln(1 + n / df) AS w FROM t JOIN d USING (term) CROSS JOIN n),
+    f"""WITH {_ITEM_TERMS}, n AS (SELECT count(DISTINCT id) AS n FROM t), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1), w AS (SELECT id, term, ln(1 + n / df) AS w FROM t JOIN d USING (term) CROSS JOIN n),
  z AS (SELECT id, sum(w) AS z FROM w GROUP BY 1), s AS (SELECT a.id AS i, b.id AS j, sum(a.w) AS both_w FROM w a JOIN w b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2)
- SELECT i, j, round(both_w / (x.z + y.z - both_w), 6) AS score FROM s JOIN z x ON x.id = i JOIN z y ON y.id = j WHERE score >= 0.2""",
+ SELECT i, j, round(both_w / (x.z + y.z - both_w), 6) AS score FROM s JOIN z x ON x.id = i JOIN z y ON y.id = j WHERE score >= 0.01""",
 )
 def weighted_similarity(spark, sf_dir):
-    return E.similar_sets(_part_terms(spark, sf_dir), 0.2)
+    return E.similar_sets(_item_terms(spark, sf_dir), 0.01)
 
 
 @query(
     "operator_similarity",
-    f"""WITH {_PART_TERMS}, p AS (SELECT DISTINCT id, left(term, 6) AS term FROM t), z AS (SELECT id, count(*) AS z FROM p GROUP BY 1), s AS (SELECT a.id AS i, b.id AS j, count(*) AS k FROM p a JOIN p b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2)
- SELECT i, j, round(0.5::DOUBLE * k / least(x.z, y.z) + 0.5::DOUBLE * k / (x.z + y.z - k), 6) AS score FROM s JOIN z x ON x.id = i JOIN z y ON y.id = j WHERE score >= 0.5""",
+    f"""WITH {_ITEM_TERMS}, p AS (SELECT DISTINCT id, left(term, 6) AS term FROM t), z AS (SELECT id, count(*) AS z FROM p GROUP BY 1), s AS (SELECT a.id AS i, b.id AS j, count(*) AS k FROM p a JOIN p b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2)
+ SELECT i, j, round(0.5::DOUBLE * k / least(x.z, y.z) + 0.5::DOUBLE * k / (x.z + y.z - k), 6) AS score FROM s JOIN z x ON x.id = i JOIN z y ON y.id = j WHERE score >= 0.02""",
 )
 def operator_similarity(spark, sf_dir):
-    terms = _part_terms(spark, sf_dir).select("id", F.substring("term", 1, 6).alias("term"))
-    return E.similar_sets(terms, 0.5, "mean")
+    terms = _item_terms(spark, sf_dir).select("id", F.substring("term", 1, 6).alias("term"))
+    return E.similar_sets(terms, 0.02, "mean")
 
 
 @query(
@@ -190,16 +191,16 @@ def import_audit(spark, sf_dir):
 
 @query(
     "item_links",
-    f"""WITH {_PART_TERMS}, n AS (SELECT count(DISTINCT id) AS n FROM t), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1), w AS (SELECT id, term, ln(1 + n / df) AS w FROM t JOIN d USING (term) CROSS JOIN n),
+    f"""WITH {_ITEM_TERMS}, n AS (SELECT count(DISTINCT id) AS n FROM t), d AS (SELECT term, count(*) AS df FROM t GROUP BY 1), w AS (SELECT id, term, ln(1 + n / df) AS w FROM t JOIN d USING (term) CROSS JOIN n),
  z AS (SELECT id, sum(w) AS z FROM w GROUP BY 1), s AS (SELECT a.id AS i, b.id AS j, sum(a.w) AS k FROM w a JOIN w b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2),
- p AS (SELECT i, j, round(k / least(x.z, y.z), 6) AS score FROM s JOIN z x ON x.id = i JOIN z y ON y.id = j WHERE round(k / least(x.z, y.z), 6) >= 0.4),
- m AS (SELECT p_partkey AS id, p_brand AS type, p_partkey % 2 AS polarity, p_size AS date FROM part)
+ p AS (SELECT i, j, round(k / least(x.z, y.z), 6) AS score FROM s JOIN z x ON x.id = i JOIN z y ON y.id = j WHERE round(k / least(x.z, y.z), 6) >= 0.02),
+ m AS (SELECT item_id AS id, item_id % 3 AS type, item_id % 2 AS polarity, item_id % 11 AS date FROM benchmark)
  SELECT CASE WHEN b.date >= a.date THEN j ELSE i END AS source, CASE WHEN b.date >= a.date THEN i ELSE j END AS target, CASE WHEN a.polarity <> b.polarity THEN 'contradicts' ELSE 'supersedes' END AS type, score
  FROM p JOIN m a ON a.id = i JOIN m b ON b.id = j WHERE a.polarity <> b.polarity OR a.type = b.type""",
 )
 def item_links(spark, sf_dir):
-    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("type"), (F.col("p_partkey") % 2).alias("polarity"), F.col("p_size").alias("date"))
-    return E.item_links(items, _part_terms(spark, sf_dir), 0.4)
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") % 3).alias("type"), (F.col("item_id") % 2).alias("polarity"), (F.col("item_id") % 11).alias("date"))
+    return E.item_links(items, _item_terms(spark, sf_dir), 0.02)
 
 
 @query(
@@ -217,18 +218,18 @@ def json_mapping(spark, sf_dir):
 
 @query("principles_found")
 def principles_found(spark, sf_dir):
-    """Clusters of part descriptions with their support; the tests hold them against brute force."""
-    p = table(spark, sf_dir, "part").where("p_size <= 3").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("unit"), F.col("p_size").alias("date"), F.lit(0.5).alias("confidence"))
-    found = E.principles(p, _part_terms(spark, sf_dir), 0.5, 2, 1)
+    """Clusters of benchmark items with their support; the tests hold them against brute force."""
+    p = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), (F.col("item_id") % 7).alias("unit"), (F.col("item_id") % 5).alias("date"), F.lit(0.5).alias("confidence"))
+    found = E.principles(p, _item_terms(spark, sf_dir), 0.02, 2, 1)
     return E.typed(found, [("broad", F.col("units") >= 4), ("steady", F.col("dates") >= 3)], "local")
 
 
 @query("project_attribution")
 def project_attribution(spark, sf_dir):
-    """Part descriptions join a project that starts from one part each; the tests hold it against a plain loop."""
-    terms = _part_terms(spark, sf_dir).withColumn("w", F.lit(1.0))
+    """Benchmark items join a project that starts from one item each; the tests hold it against a plain loop."""
+    terms = _item_terms(spark, sf_dir).withColumn("w", F.lit(1.0))
     seeds = terms.select("id").distinct().orderBy("id").limit(2).select("id", F.concat(F.lit("project-"), F.col("id").cast("string")).alias("project"))
-    return E.attribute(terms, seeds, 0.4, 0.05)
+    return E.attribute(terms, seeds, 0.02, 0.005)
 
 
 @query("prefix_terms", r"SELECT item_id, md5(array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(lower(text), '\p{N}*\p{L}[\p{L}\p{N}+#]*'), lambda x: left(x, 6)))), ' ')) AS digest FROM benchmark")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import graph as G
 from tidewater.plans.registry import query, table
+from tidewater.workspace import materialize
 
 _LINKS_SQL = """links AS (SELECT 100 + n_nationkey::BIGINT AS source, n_regionkey::BIGINT AS target, 'part_of' AS kind FROM nation
  UNION ALL SELECT 1000 + c_custkey, 100 + c_nationkey, 'lives_in' FROM customer UNION ALL SELECT 10000000 + s_suppkey, 100 + s_nationkey, 'based_in' FROM supplier
@@ -140,38 +141,44 @@ def tree_paths(spark, sf_dir):
     return G.tree_paths(nodes, "n", "p").select("n", F.size("path").alias("depth"), F.array_join("path", "/").alias("path"))
 
 
+_TRADE_LINKS = "SELECT DISTINCT s_nationkey AS s, c_nationkey AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey AND o_orderdate < TIMESTAMP '1995-01-01'"
+
+
 @query(
     "path_proof",
-    """WITH RECURSIVE l AS (SELECT DISTINCT o_custkey % 40 AS s, (o_custkey + o_orderkey) % 40 AS t FROM orders WHERE o_orderdate < TIMESTAMP '1993-06-01' AND o_orderstatus <> 'P'), k AS (SELECT * FROM l WHERE s <> t AND (s + t) % 5 = 0),
- r(path, node) AS (SELECT [s, t], t FROM k WHERE s = 0 UNION ALL SELECT list_append(path, t), t FROM r JOIN k ON node = s WHERE NOT list_contains(path, t) AND len(path) < 4) SELECT array_to_string(path, '>') AS path FROM r WHERE node = 15""",
+    f"""WITH RECURSIVE k AS ({_TRADE_LINKS}), z AS (SELECT min(s) AS a, max(t) AS b FROM k),
+ r(path, node) AS (SELECT [s, t], t FROM k WHERE s = (SELECT a FROM z) UNION ALL SELECT list_append(path, t), t FROM r JOIN k ON node = s WHERE NOT list_contains(path, t) AND len(path) < 4) SELECT array_to_string(path, '>') AS path FROM r WHERE node = (SELECT b FROM z)""",
 )
 def path_proof(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderdate < timestamp_ntz '1993-06-01' and o_orderstatus <> 'P'")
-    l = o.select((F.col("o_custkey") % 40).alias("source"), ((F.col("o_custkey") + F.col("o_orderkey")) % 40).alias("target")).distinct().where("source <> target and (source + target) % 5 = 0")  # noqa: E741
-    return G.simple_paths(l, F.col("source") == 0, F.col("node") == 15, 3).select(F.array_join("path", ">").alias("path"))
+    """Every simple path of at most three deliveries between two nations, by what was known at the beginning of 1995."""
+    li, o, c, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    known = o.where("o_orderdate < timestamp_ntz '1995-01-01'").join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    sold = li.select("l_orderkey", "l_suppkey").join(known, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    links = materialize(sold.select(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target")).distinct().where("source <> target"))
+    ends = links.agg(F.min("source").alias("a"), F.max("target").alias("b")).first()
+    return G.simple_paths(links, F.col("source") == ends.a, F.col("node") == ends.b, 3).select(F.array_join("path", ">").alias("path"))
 
 
 @query(
     "scope_resolution",
-    """WITH v AS (SELECT c_nationkey AS k, 'global' AS level, 'g' AS value FROM customer UNION SELECT c_nationkey, 'segment', CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE min(c_mktsegment) END FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey, c_mktsegment UNION SELECT s_nationkey, 'supplier', 's' FROM supplier WHERE s_acctbal > 9000)
- SELECT k, arg_max(value, (list_position(['global', 'segment', 'supplier'], level), value)) AS value, arg_max(level, (list_position(['global', 'segment', 'supplier'], level), value)) AS level FROM v WHERE value IS NOT NULL GROUP BY 1""",
+    """WITH v AS (SELECT c_custkey AS k, 1 AS r, 'global' AS level, 'g' AS value FROM customer UNION ALL SELECT c_custkey, 2, 'segment', CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END FROM customer UNION ALL SELECT c_custkey, 3, 'customer', CASE WHEN c_acctbal < 0 THEN 'hold' END FROM customer)
+ SELECT k, arg_max(value, r) AS value, arg_max(level, r) AS level FROM v WHERE value IS NOT NULL GROUP BY 1""",
 )
 def scope_resolution(spark, sf_dir):
-    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    segment = c.where("c_acctbal > 9000 and c_mktsegment <> 'BUILDING'").select(F.col("c_nationkey").alias("k"), F.lit("segment").alias("level"), F.col("c_mktsegment").alias("value"))
-    every = c.select(F.col("c_nationkey").alias("k"), F.lit("global").alias("level"), F.lit("g").alias("value")).distinct()
-    own = s.where("s_acctbal > 9000").select(F.col("s_nationkey").alias("k"), F.lit("supplier").alias("level"), F.lit("s").alias("value"))
-    return G.scope(every.unionByName(segment.distinct()).unionByName(own.distinct()), "k", "level", ["global", "segment", "supplier"], "value")
+    c = table(spark, sf_dir, "customer")
+    at = lambda level, value: c.select(F.col("c_custkey").alias("k"), F.lit(level).alias("level"), value.alias("value"))
+    values = at("global", F.lit("g")).unionByName(at("segment", F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")))).unionByName(at("customer", F.when(F.col("c_acctbal") < 0, "hold")))
+    return G.scope(values, "k", "level", ["global", "segment", "customer"], "value")
 
 
 @query(
     "action_fit",
-    """WITH a(action, needs) AS (VALUES ('restock', ['BUILDING', 'MACHINERY']), ('audit', ['AUTOMOBILE']), ('close', ['BUILDING', 'FURNITURE', 'HOUSEHOLD'])), t AS (SELECT c_nationkey AS k, list_distinct(list(c_mktsegment)) AS traits FROM customer WHERE c_acctbal > 9000 GROUP BY 1)
+    """WITH a(action, needs) AS (VALUES ('restock', ['1-URGENT', '5-LOW']), ('audit', ['2-HIGH']), ('close', ['1-URGENT', '2-HIGH', '3-MEDIUM'])), t AS (SELECT o_custkey AS k, list_distinct(list(o_orderpriority)) AS traits FROM orders GROUP BY 1)
  SELECT k, action, len(list_filter(needs, lambda x: NOT list_contains(traits, x))) = 0 AS fits, array_to_string(list_sort(list_filter(needs, lambda x: NOT list_contains(traits, x))), ',') AS missing FROM t CROSS JOIN a""",
 )
 def action_fit(spark, sf_dir):
-    traits = table(spark, sf_dir, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.collect_set("c_mktsegment").alias("traits"))
-    actions = spark.createDataFrame([("restock", ["BUILDING", "MACHINERY"]), ("audit", ["AUTOMOBILE"]), ("close", ["BUILDING", "FURNITURE", "HOUSEHOLD"])], "action string, needs array<string>")
+    traits = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.collect_set("o_orderpriority").alias("traits"))
+    actions = spark.createDataFrame([("restock", ["1-URGENT", "5-LOW"]), ("audit", ["2-HIGH"]), ("close", ["1-URGENT", "2-HIGH", "3-MEDIUM"])], "action string, needs array<string>")
     missing = F.sort_array(F.array_except("needs", "traits"))
     return traits.join(F.broadcast(actions)).select("k", "action", (F.size(missing) == 0).alias("fits"), F.array_join(missing, ",").alias("missing"))
 

@@ -61,11 +61,8 @@ def address_resolve(spark, sf_dir):
     return T.resolve(o, first.select("anchor"), steps, {"time": ("o_custkey", "o_orderdate")}, "o_orderkey")
 
 
-_ACTIONS = """RECURSIVE a AS (SELECT s_suppkey AS id, s_nationkey AS needs, (s_nationkey + s_suppkey % 4 + 1) % 25 AS gives, abs(s_acctbal) AS cost, round(1.0::DOUBLE / (1 + s_suppkey % 5), 6) AS confidence FROM supplier WHERE s_suppkey <= 40)"""
-
-
 def _actions(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").where("s_suppkey <= 40")  # a catalogue of actions: small by nature
+    s = table(spark, sf_dir, "supplier")
     gives = F.pmod(F.col("s_nationkey") + F.col("s_suppkey") % 4 + 1, F.lit(25))
     return s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("needs"), gives.cast("long").alias("gives"), F.abs("s_acctbal").alias("cost"), F.round(F.lit(1.0) / (1 + F.col("s_suppkey") % 5), 6).alias("confidence"))
 
@@ -73,7 +70,7 @@ def _actions(spark, sf_dir):
 @query("action_chains")
 def action_chains(spark, sf_dir):
     """Plans over a catalogue of suppliers; the tests hold them against a search of all sequences."""
-    return T.chains(_actions(spark, sf_dir), F.col("needs") < 12, F.col("gives") >= 12, 4, 25_000.0)
+    return T.chains(_actions(spark, sf_dir), F.col("needs") < 12, F.col("gives") >= 12, 3, 25_000.0)
 
 
 @query("nodes_created", "SELECT n_nationkey::BIGINT AS node, n_name AS label, 'nation' AS kind FROM nation UNION ALL SELECT 24 + row_number() OVER (ORDER BY label, kind), label, kind FROM (SELECT DISTINCT p_brand AS label, 'brand' AS kind FROM part)")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewater.operators import archive as A
+from tidewater.operators import upkeep as U
 from tidewater.plans.registry import query, table
 
 
@@ -131,17 +128,14 @@ def principle_support(spark, sf_dir):
 
 @query(
     "entity_resolution_pairs",
-    """WITH p AS (SELECT p_partkey AS id, p_name, p_type, p_brand || '|' || split_part(p_name, ' ', 1) AS block FROM part), k AS (SELECT block FROM p GROUP BY 1 HAVING count(*) <= 200)
- SELECT a.id AS a, b.id AS b, round(0.5 * (a.p_name = b.p_name)::INT + 0.3 * (a.p_type = b.p_type)::INT + 0.2, 6)::DOUBLE AS score FROM p a JOIN p b USING (block) SEMI JOIN k USING (block) WHERE a.id < b.id AND 0.5 * (a.p_name = b.p_name)::INT + 0.3 * (a.p_type = b.p_type)::INT + 0.2 >= 0.6""",
+    """WITH p AS (SELECT p_partkey AS id, p_name, p_type, p_brand || '|' || split_part(p_name, ' ', 1) AS block FROM part)
+ SELECT a.id AS a, b.id AS b, round(0.5 * (a.p_name = b.p_name)::INT + 0.3 * (a.p_type = b.p_type)::INT + 0.2, 6)::DOUBLE AS score FROM p a JOIN p b USING (block) WHERE a.id < b.id AND 0.5 * (a.p_name = b.p_name)::INT + 0.3 * (a.p_type = b.p_type)::INT + 0.2 >= 0.6
+ ORDER BY score DESC, a, b""",
 )
 def entity_resolution_pairs(spark, sf_dir):
-    """Candidates from blocks of at most 200 members (larger blocks say too little), scored, at least 0.6."""
+    """Pairs of a block that score 0.6 or more, best first."""
     p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_type", F.concat_ws("|", "p_brand", F.split_part("p_name", F.lit(" "), F.lit(1))).alias("block"))
-    small = p.groupBy("block").agg(F.count("*").alias("n")).where("n <= 200").select("block")
-    own = p.join(small, "block")
-    a, b = own.select("block", F.col("id").alias("a"), F.col("p_name").alias("n1"), F.col("p_type").alias("t1")), own.select("block", F.col("id").alias("b"), F.col("p_name").alias("n2"), F.col("p_type").alias("t2"))
-    score = F.round(0.5 * (F.col("n1") == F.col("n2")).cast("int") + 0.3 * (F.col("t1") == F.col("t2")).cast("int") + 0.2, 6)
-    return a.join(b, "block").where((F.col("a") < F.col("b")) & (score >= 0.6)).select("a", "b", score.alias("score"))
+    return U.resolution_pairs(p, "id", "block", "p_name", "p_type", 0.6)
 
 
 @query(
@@ -153,52 +147,43 @@ def first_dates(spark, sf_dir):
     return _t(spark, sf_dir, "orders").select("o_orderkey", F.regexp_extract(text, "([0-9]{4}-[0-9]{2}-[0-9]{2})", 1).alias("day"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("seconds"))
 
 
-@query("shared_prefixes")
-def shared_prefixes(spark, sf_dir):
-    """Length of the prefix each version shares with the first of its group."""
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    v = _t(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.col("text").alias("t")).withColumn("f", F.first("t").over(w))
+def _halving_sql() -> str:
+    """Steps of a search for the longest equal beginning of columns a and b."""
+    steps = ""
+    for k in range(20):
+        steps += f" k{k + 1} AS (SELECT doc_id, a, b, k + CASE WHEN k + {1 << (19 - k)} <= least(length(a), length(b)) AND substr(a, k + 1, {1 << (19 - k)}) = substr(b, k + 1, {1 << (19 - k)}) THEN {1 << (19 - k)} ELSE 0 END AS k FROM k{k}),\n"
+    return steps.rstrip(",\n")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield pd.DataFrame({"doc_id": p["doc_id"], "shared": [len(os.path.commonprefix([a, b])) for a, b in zip(p["t"], p["f"], strict=True)]})
 
-    return v.select("doc_id", "t", "f").mapInPandas(run, "doc_id long, shared long")
+@query(
+    "shared_prefixes",
+    f"""WITH f AS (SELECT source, lang, arg_min(text, doc_id) AS b FROM documents GROUP BY 1, 2), k0 AS (SELECT doc_id, text AS a, b, 0 AS k FROM documents JOIN f USING (source, lang)),
+{_halving_sql()} SELECT doc_id, k::BIGINT AS shared FROM k20""",
+)
+def shared_prefixes(spark, sf_dir):
+    """Length of the prefix each version shares with the first of its group."""
+    return U.shared_prefixes(_t(spark, sf_dir, "documents"), ["source", "lang"], "doc_id", "text")
 
 
 @query("changed_lines")
 def changed_lines(spark, sf_dir):
     """Lines added and removed between consecutive messages of a role in a conversation."""
     m = _t(spark, sf_dir, "conversations")
-    pairs = m.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id", "role").orderBy("turn"))).where("before is not null").select("conv_id", "turn", "before", "text")
+    pairs = m.withColumn("before", F.lag("text").over(Window.partitionBy("conv_id", "role").orderBy("turn"))).where("before is not null")
+    return U.changed_lines(pairs, ["conv_id", "turn"], "before", "text")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import difflib
 
-        for p in parts:
-            out = []
-            for c, t, a, b in p.itertuples(index=False):
-                marks = [x[0] for x in difflib.ndiff(a.split("\n"), b.split("\n"))]
-                out.append((c, t, marks.count("+"), marks.count("-")))
-            yield pd.DataFrame(out, columns=["conv_id", "turn", "added", "removed"])
-
-    return pairs.mapInPandas(run, "conv_id long, turn long, added long, removed long")
-
-
-@query("budget_skip")
+@query(
+    "budget_skip",
+    """WITH RECURSIVE c AS (SELECT conv_id, turn, ceil(length(text) / 4.0)::BIGINT AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations),
+ s AS (SELECT conv_id, turn, cost, r, cost <= 400 AS kept, CASE WHEN cost <= 400 THEN 400 - cost ELSE 400 END AS rest FROM c WHERE r = 1
+  UNION ALL SELECT c.conv_id, c.turn, c.cost, c.r, c.cost <= rest, CASE WHEN c.cost <= rest THEN rest - c.cost ELSE rest END FROM s JOIN c ON c.conv_id = s.conv_id AND c.r = s.r + 1)
+ SELECT conv_id, turn, cost FROM s WHERE kept""",
+)
 def budget_skip(spark, sf_dir):
-    """Skip policy: messages newest first that still fit the conversation's budget; sequential, one conversation at a time."""
+    """Skip policy: messages newest first that still fit the conversation's budget."""
     costs = _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.ceil(F.length("text") / 4.0).cast("long").alias("cost"))
-
-    def pick(p: pd.DataFrame) -> pd.DataFrame:
-        left, kept = 400, []
-        for row in p.sort_values("turn", ascending=False).itertuples(index=False):
-            if row.cost <= left:
-                left -= row.cost
-                kept.append(row)
-        return pd.DataFrame(kept, columns=p.columns)
-
-    return costs.groupBy("conv_id").applyInPandas(pick, costs.schema)
+    return U.within_skipping(costs, "conv_id", F.desc("turn"), "cost", 400).select("conv_id", "turn", "cost")
 
 
 @query("stable_claim_ids", "SELECT l_orderkey, l_linenumber, 'clm-' || substr(sha256(concat_ws(chr(31), l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_returnflag)), 1, 16) AS claim_id FROM lineitem WHERE l_quantity > 48")
