@@ -71,7 +71,7 @@ def logistic(x: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column, longest: int = 1 << 24) -> Column:
-    """Number of characters that two texts share at their beginning, by halving: some 24 comparisons whatever the length."""
+    """Number of characters that two texts share at their beginning, by halving: some 24 comparisons whatever the length. A null shares nothing."""
     steps = F.array(*[F.lit(longest >> k) for k in range(longest.bit_length())])
     same = lambda k, s: (k + s <= F.least(F.length(a), F.length(b))) & (F.substring(a, k + 1, s) == F.substring(b, k + 1, s))
     return F.aggregate(steps, F.lit(0), lambda k, s: F.when(same(k, s), k + s).otherwise(k))

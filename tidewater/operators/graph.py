@@ -238,7 +238,7 @@ def rank_graphs(features: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return out.orderBy(F.desc("containment"), F.desc("cosine"), "host").limit(k)
 
 
-def louvain(links: DataFrame, most_rounds: int = 20, most_levels: int = 10) -> DataFrame:
+def louvain(links: DataFrame, most_rounds: int = 10, most_levels: int = 5) -> DataFrame:
     """(node, community) by modularity, over undirected weighted links (source, target, weight).
 
     The local moves of a level run for all nodes at once: in turn one half of the nodes, by a hash of node and round, may move

@@ -54,7 +54,7 @@ def _signed(spark, sf_dir):
 @query("continuation_links")
 def continuation_links(spark, sf_dir):
     """Band candidates of conversations, verified on signatures; the tests hold them against all pairs."""
-    return K.band_links(_signed(spark, sf_dir), "conv_id", "sig", 4, 0.5)
+    return K.band_links(_signed(spark, sf_dir), "conv_id", "sig", 2, 0.5)
 
 
 @query(
