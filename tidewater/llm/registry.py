@@ -45,6 +45,11 @@ def op5_language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_language_id.identify_documents(table(spark, sf_dir, "documents"))
 
 
+def pages_language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 where every kind of evidence takes part: markup, address suffix, host and its domain."""
+    return op5_language_id.identify_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_topk_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_topk_search.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules_query,
     "op4_url_filter": op4_url_filter_query,
     "op5_language_id": op5_language_id_query,
+    "pages_language": pages_language_query,
     "op6_topk_search": op6_topk_search_query,
     "op7_token_binary": op7_token_binary_query,
     "op8_packing": op8_packing_query,
