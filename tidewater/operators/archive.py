@@ -87,9 +87,9 @@ def relations(docs: DataFrame, pattern: str, id_col: str, text: str) -> DataFram
 
 def language_by_stops(docs: DataFrame, stops: dict[str, list[str]], id_col: str, text: str) -> DataFrame:
     """Language with most stop-word hits; ties by the order of the table, none: unknown."""
-    t = fx.tokens(F.col(text))
-    hits = lambda ws: F.size(F.filter(t, lambda x: x.isin(*ws)))
-    counts = docs.select(id_col, *[hits(ws).alias(k) for k, ws in stops.items()])
+    hits = lambda ws: F.size(F.filter("_t", lambda x: x.isin(*ws)))
+    tokens = docs.select(id_col, fx.tokens(F.col(text)).alias("_t"))  # once a text, not once a language
+    counts = tokens.select(id_col, *[hits(ws).alias(k) for k, ws in stops.items()])
     most = F.greatest(*stops)
     best = reduce(lambda out, k: F.when(F.col(k) == most, k).otherwise(out), reversed(list(stops)), F.lit(None))
     return counts.select(id_col, F.when(most == 0, "unknown").otherwise(best).alias("language"))
