@@ -323,3 +323,16 @@ def write_subset(elements: DataFrame, keep: DataFrame, path: str) -> None:
 def as_pandas_reader(parse: Callable[[str, bytes], Iterator[dict]], schema: str) -> Callable[[DataFrame], DataFrame]:
     """A reader of files from a function that yields rows; its failures become rows with an error."""
     return lambda df: readers._per_file(df, parse, schema)
+
+
+def put_blobs(rows: DataFrame, content: str) -> DataFrame:
+    """A store by content: digest, bytes and content, each content once."""
+    keyed = rows.where(F.col(content).isNotNull()).select(F.sha2(content, 256).alias("digest"), F.octet_length(content).alias("bytes"), F.col(content).alias("content"))
+    return keyed.dropDuplicates(["digest"])
+
+
+def get_blobs(references: DataFrame, store: DataFrame, digest: str = "digest") -> DataFrame:
+    """References with their contents; a content that isn't what its digest says is an error, a missing one null."""
+    joined = references.join(store.select(F.col("digest").alias(digest), "content"), digest, "left")
+    good = F.col("content").isNull() | (F.sha2("content", 256) == F.col(digest))
+    return joined.withColumn("content", F.when(good, F.col("content")).otherwise(F.raise_error(F.lit("a blob has changed"))))
