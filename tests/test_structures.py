@@ -100,12 +100,12 @@ def test_isomorphisms(spark):
 
 
 def test_hierarchies_that_do_not_end_raise(spark):
-    chain = spark.createDataFrame([(k, k + 1) for k in range(9)], "child long, parent long")
-    assert G.closure(chain, "child", "parent", 9).count() == 45
+    chain = spark.createDataFrame([(k, k + 1) for k in range(5)], "child long, parent long")
+    assert G.closure(chain, "child", "parent", 5).count() == 15
     with pytest.raises(RuntimeError):
-        G.closure(chain, "child", "parent", 5)
+        G.closure(chain, "child", "parent", 3)
     with pytest.raises(RuntimeError):
-        G.tree_paths(spark.createDataFrame([(0, None), *((k + 1, k) for k in range(9))], "n long, p long"), "n", "p", 5)
+        G.tree_paths(spark.createDataFrame([(0, None), *((k + 1, k) for k in range(5))], "n long, p long"), "n", "p", 3)
 
 
 def test_chains(spark):
@@ -200,10 +200,10 @@ def test_principles_and_attribution(spark):
 
 
 def test_rules_that_do_not_end_raise(spark):
-    facts = spark.createDataFrame([(k, "next", k + 1) for k in range(20)], "s long, p string, o long")
-    assert E.infer(facts, [E.Rule("after", ("next",)), E.Rule("after", ("after", "next"))]).where("p = 'after'").count() == 210
+    facts = spark.createDataFrame([(k, "next", k + 1) for k in range(6)], "s long, p string, o long")
+    assert E.infer(facts, [E.Rule("after", ("next",)), E.Rule("after", ("after", "next"))]).where("p = 'after'").count() == 21
     with pytest.raises(RuntimeError):
-        E.infer(facts, [E.Rule("after", ("next",)), E.Rule("after", ("after", "next"))], most=5)
+        E.infer(facts, [E.Rule("after", ("next",)), E.Rule("after", ("after", "next"))], most=3)
 
 
 def test_edit_sizes():

@@ -42,7 +42,7 @@ def test_full_messages(spark, folder):
     assert {k: (v.parent, v.role, v.text) for k, v in by.items()} == {
         ("t", "a"): (None, "user", "question"), ("t", "b"): ("a", "assistant", "one"), ("t", "c"): ("a", "assistant", "other"),
         ("n", "1"): (None, "human", "hello"), ("n", "2"): ("1", "assistant", "yes"),
-        ("s", "0"): (None, "user", "line 0"), ("s", "1"): ("0", "user", "line 1"), ("App", None): (None, "user", "Asked a thing"),
+        ("s", "0"): (None, "user", "line 0"), ("s", "1"): ("0", "user", "line 1"), ("App", "2024-01-01T00:00:00Z"): (None, "user", "Asked a thing"),
     }
     assert by["n", "1"].attachments == ["a.pdf"] and json.loads(by["t", "a"].unknown) == {"weight": 1}
     assert [r.path.rsplit("/", 1)[1] for r in rows if r.error] == ["broken.json"]
