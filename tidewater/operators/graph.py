@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.workspace import materialize
+from tidewater.workspace import materialize, written
 
 
 def undirected(links: DataFrame, src: str = "source", dst: str = "target") -> DataFrame:
@@ -238,26 +238,32 @@ def rank_graphs(features: DataFrame, query: DataFrame, k: int) -> DataFrame:
     return out.orderBy(F.desc("containment"), F.desc("cosine"), "host").limit(k)
 
 
-def louvain(links: DataFrame, most_rounds: int = 10, most_levels: int = 5) -> DataFrame:
+def _stored(df: DataFrame) -> DataFrame:
+    """A round's table, written: one run, and the next plan knows nothing of how it came about. (A checkpoint hands the
+    constraints of its plan on, and over many rounds the optimizer spends ever longer on them.)"""
+    return written(df, "rounds")
+
+
+def louvain(links: DataFrame, most_rounds: int = 6, most_levels: int = 3, least_gain: float = 1e-3) -> DataFrame:
     """(node, community) by modularity, over undirected weighted links (source, target, weight).
 
     The local moves of a level run for all nodes at once: in turn one half of the nodes, by a hash of node and round, may move
     to the neighbouring community of largest positive gain (ties to the smaller community), so two neighbours seldom swap.
-    A round that doesn't raise modularity is undone and ends its level; then communities become nodes. The driver sees
+    A round that doesn't raise modularity by ``least_gain`` is undone, and two of them in turn end a level; then communities become nodes. The driver sees
     one number a round. Communities are named by their smallest node.
     """
     flat = links.where("source <> target").select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), "weight")
-    level = materialize(flat.groupBy("a", "b").agg(F.sum("weight").alias("w")))
+    level = _stored(flat.groupBy("a", "b").agg(F.sum("weight").alias("w")))
     total = 2.0 * level.agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
-    names = materialize(level.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node")))
+    names = _stored(level.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.col("node")))
     if not total:
         return names
     loops = names.select("node", F.lit(0.0).alias("loop"))
     for _ in range(most_levels):
-        both = materialize(level.select(F.col("a").alias("node"), F.col("b").alias("to"), "w").unionByName(level.select(F.col("b").alias("node"), F.col("a").alias("to"), "w")))
-        degree = materialize(loops.join(both.groupBy("node").agg(F.sum("w").alias("d")), "node", "left").select("node", (F.coalesce("d", F.lit(0.0)) + F.col("loop")).alias("k"), "loop"))
-        state = materialize(degree.select("node", F.col("node").alias("c")))
-        best, moved = _modularity(both, degree, state, total), False
+        both = _stored(level.select(F.col("a").alias("node"), F.col("b").alias("to"), "w").unionByName(level.select(F.col("b").alias("node"), F.col("a").alias("to"), "w")))
+        degree = _stored(loops.join(both.groupBy("node").agg(F.sum("w").alias("d")), "node", "left").select("node", (F.coalesce("d", F.lit(0.0)) + F.col("loop")).alias("k"), "loop"))
+        state = _stored(degree.select("node", F.col("node").alias("c")))
+        best, moved, idle = _modularity(both, degree, state, total), False, 0
         for k in range(most_rounds):
             size = state.join(degree, "node").groupBy("c").agg(F.sum("k").alias("s"))
             near = both.join(state.select(F.col("node").alias("to"), "c"), "to").groupBy("node", "c").agg(F.sum("w").alias("w"))
@@ -273,22 +279,24 @@ def louvain(links: DataFrame, most_rounds: int = 10, most_levels: int = 5) -> Da
             home = F.coalesce("stay", F.round(-F.col("k") * (F.col("s") - F.col("k")) / total, 9))
             turn = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(2)) == 0
             to = F.when(turn & (F.col("t.gain") > home), -F.col("t.low")).otherwise(F.col("mine"))
-            new = materialize(state.join(alone.select("node", to.alias("to")), "node", "left").select("node", F.coalesce("to", "c").alias("c")))
+            new = _stored(state.join(alone.select("node", to.alias("to")), "node", "left").select("node", F.coalesce("to", "c").alias("c")))
             q = _modularity(both, degree, new, total)
-            if q > best + 1e-9:
-                state, best, moved = new, q, True
-            elif k % 2:
-                break
+            if q > best + least_gain:
+                state, best, moved, idle = new, q, True, 0
+            else:
+                idle += 1
+                if idle == 2:
+                    break
         if not moved:
             break
         low = state.groupBy("c").agg(F.min("node").alias("name"))
-        state = materialize(state.join(low, "c").select("node", "name"))
-        names = materialize(names.join(state.select(F.col("node").alias("community"), "name"), "community").select("node", F.col("name").alias("community")))
+        state = _stored(state.join(low, "c").select("node", "name"))
+        names = _stored(names.join(state.select(F.col("node").alias("community"), "name"), "community").select("node", F.col("name").alias("community")))
         ends = level.join(state.select(F.col("node").alias("a"), F.col("name").alias("x")), "a").join(state.select(F.col("node").alias("b"), F.col("name").alias("y")), "b")
         inside = ends.where("x = y").groupBy(F.col("x").alias("node")).agg((2 * F.sum("w")).alias("l"))
         old = loops.join(state, "node").groupBy(F.col("name").alias("node")).agg(F.sum("loop").alias("loop"))
-        loops = materialize(old.join(inside, "node", "left").select("node", (F.col("loop") + F.coalesce("l", F.lit(0.0))).alias("loop")))
-        level = materialize(ends.where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
+        loops = _stored(old.join(inside, "node", "left").select("node", (F.col("loop") + F.coalesce("l", F.lit(0.0))).alias("loop")))
+        level = _stored(ends.where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
     low = names.groupBy("community").agg(F.min("node").alias("name"))
     return names.join(low, "community").select("node", F.col("name").alias("community"))
 

@@ -185,10 +185,10 @@ def graph_ranking(spark, sf_dir):
 
 @query("louvain_communities")
 def louvain_communities(spark, sf_dir):
-    """Suppliers that share parts; the tests hold the modularity against a sequential search."""
-    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    pairs = li.select(F.col("l_suppkey").alias("source"), "l_partkey").join(li.select(F.col("l_suppkey").alias("target"), "l_partkey"), "l_partkey").where("source < target")
-    return G.louvain(pairs.groupBy("source", "target").agg(F.count("*").cast("double").alias("weight")))
+    """Nations by what they sell each other; the tests hold the modularity against a sequential search."""
+    li, o, c, s = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "supplier"))
+    sold = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
+    return G.louvain(sold.groupBy(F.col("s_nationkey").alias("source"), F.col("c_nationkey").alias("target")).agg(F.count("*").cast("double").alias("weight")))
 
 
 @query("graph_catalogue", f"WITH {_TRADE} SELECT kind AS source, node, label, (SELECT count(*) FROM e WHERE target = g.node) AS children FROM g")
