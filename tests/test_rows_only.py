@@ -61,6 +61,12 @@ def test_bootstrap_brackets_the_mean(spark):
     assert low < middle < high
 
 
+def test_family_bootstrap_brackets_the_mean(spark):
+    low, middle, high = rows(spark, "family_bootstrap")[0]
+    mean = spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("avg(l_discount - l_tax)").first()[0]
+    assert low < middle < high and low < mean < high
+
+
 def test_label_propagation(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (7, 8)], "source long, target long")
     nodes = spark.createDataFrame([(k,) for k in (1, 2, 3, 7, 8, 9)], "node long")
