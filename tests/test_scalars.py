@@ -88,7 +88,7 @@ def test_json(spark):
 def test_sentences(spark):
     text = "# Title of it\nDr. Smith came home. He met e.g. Ann and left! \"Was it so?\" Yes it was.\n\n- first point here\n- second point. With more words\n```\ncode line. Not prose\n```\n| a cell | b cell |\nlast one"
     got = each(spark, [text, "", "One"], lambda t: S.sentences(t, ["Dr", "e.g"]))
-    assert got[0] == ["Dr. Smith came home.", "He met e.g. Ann and left!", '"Was it so?', "Yes it was.", "first point here", "second point.", "With more words", "a cell — b cell", "last one"] or got[0][:2] == ["Dr. Smith came home.", "He met e.g. Ann and left!"]
+    assert got[0][:2] == ["Dr. Smith came home.", "He met e.g. Ann and left!"]
     assert not any("code" in s or "Title" in s for s in got[0]) and {"first point here", "second point.", "With more words", "a cell — b cell", "last one"} <= set(got[0])
     assert got[1:] == [[], []]
 
@@ -102,13 +102,13 @@ def test_extension(spark):
             bad()
     job = X.Job(("a", lambda df: df.where("id > 1")), ("b", lambda df: df.limit(1)))
     job.set_stage("a", lambda df: df.where("id > 7"))
-    assert [x.id for x in job.run(spark.range(10)).collect()] == [8] or job.run(spark.range(10)).first().id in (8, 9)
+    assert job.run(spark.range(10)).first().id in (8, 9)
     with pytest.raises(KeyError):
         job.set_stage("c", None)
     with pytest.raises(ValueError):
         X.condition(["eval", "x"])
     df = spark.createDataFrame([(1, 2.0), (1, None), (1, 4.0)], "k int, x double")
-    assert sorted(v[0] for v in df.select(X.verdict(["any", ["gt", ["field", "x"], 3.0], ["not", ["known", ["field", "x"]]]])).collect()) == ["holds", "pending" if False else "holds", "violated"]
+    assert sorted(v[0] for v in df.select(X.verdict(["any", ["gt", ["field", "x"], 3.0], ["not", ["known", ["field", "x"]]]])).collect()) == ["holds", "holds", "violated"]
     assert sorted(v[0] for v in df.select(X.verdict(["lt", ["field", "x"], 3.0])).collect()) == ["holds", "pending", "violated"]
     mode = X.batch_mode(lambda parts: (p.str.upper() for p in parts))
     r.add("mode", "loud", mode)
