@@ -15,6 +15,7 @@ from tidewater.llm import (
     op8_packing,
     op9_minhash,
     op10_bpe_codec,
+    op11_periodic_runs,
 )
 from tidewater.llm.pieces import public_vocabulary
 from tidewater.workspace import ship
@@ -70,6 +71,10 @@ def op10_bpe_codec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_bpe_codec.round_trip(table(spark, sf_dir, "documents"), public_vocabulary())
 
 
+def op11_periodic_runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_periodic_runs.document_runs(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup_query,
     "op2_token_counts": op2_token_counts_query,
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_packing": op8_packing_query,
     "op9_minhash": op9_minhash_query,
     "op10_bpe_codec": op10_bpe_codec_query,
+    "op11_periodic_runs": op11_periodic_runs_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
