@@ -16,6 +16,7 @@ from tidewater.llm import (
     op9_minhash,
     op10_bpe_codec,
     op11_periodic_runs,
+    op13_spelling_variants,
 )
 from tidewater.llm.pieces import public_vocabulary
 from tidewater.workspace import ship
@@ -75,6 +76,10 @@ def op11_periodic_runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_periodic_runs.document_runs(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup_query,
     "op2_token_counts": op2_token_counts_query,
@@ -88,6 +93,7 @@ QUERIES = {
     "op9_minhash": op9_minhash_query,
     "op10_bpe_codec": op10_bpe_codec_query,
     "op11_periodic_runs": op11_periodic_runs_query,
+    "op13_spelling_variants": op13_spelling_variants_query,
 }
 
 ORACLE_SQL: dict[str, str] = {
