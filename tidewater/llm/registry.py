@@ -16,6 +16,7 @@ from tidewater.llm import (
     op9_minhash,
     op10_bpe_codec,
     op11_periodic_runs,
+    op12_rule_ensemble,
     op13_spelling_variants,
 )
 from tidewater.llm.pieces import public_vocabulary
@@ -76,6 +77,10 @@ def op11_periodic_runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_periodic_runs.document_runs(table(spark, sf_dir, "documents"))
 
 
+def op12_rule_ensemble_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_rule_ensemble.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_spelling_variants_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -93,6 +98,7 @@ QUERIES = {
     "op9_minhash": op9_minhash_query,
     "op10_bpe_codec": op10_bpe_codec_query,
     "op11_periodic_runs": op11_periodic_runs_query,
+    "op12_rule_ensemble": op12_rule_ensemble_query,
     "op13_spelling_variants": op13_spelling_variants_query,
 }
 
