@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.functions import scalars as S
+from tidewater.operators import heavy as H
 from tidewater.operators import reports as P
 from tidewater.operators import sketches as K
 from tidewater.plans.registry import query, table
@@ -21,6 +22,13 @@ def sketch_top_terms(spark, sf_dir):
     return K.top_terms(_terms(spark, sf_dir), "doc_id", 20)
 
 
+@query("heavy_terms", f"WITH {_TERMS.replace('SELECT doc_id,', 'SELECT source,')} SELECT source, term, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, term)::INTEGER AS rank FROM t GROUP BY 1, 2 QUALIFY rank <= 20")
+def heavy_terms(spark, sf_dir):
+    """The most frequent terms of each source, counted in bounded memory."""
+    terms = table(spark, sf_dir, "documents").select("source", F.explode(S.word_tokens(F.col("text"))).alias("term"))
+    return H.heavy_hitters(terms, ["source"], "term", 20).drop("error")
+
+
 @query(
     "sketch_lookup",
     f"""WITH {_TERMS}, k AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, term) <= 20)
