@@ -47,8 +47,8 @@ def compare(df, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
     if names != want_names:
         return f"columns {names} and {want_names}"
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        missing = [r for r in want if r not in set(got)][:3]
+        here, there = set(got), set(want)
+        extra, missing = [r for r in got if r not in there][:3], [r for r in want if r not in here][:3]
         return f"{len(got)} and {len(want)} rows; only here: {extra}; only there: {missing}"
     spark_kinds = {"bigint": {"BIGINT", "NUMBER"}, "int": {"INTEGER", "NUMBER"}, "double": {"DOUBLE", "NUMBER"}, "string": {"VARCHAR", "STRING"}, "boolean": {"BOOLEAN", "bool"}}
     odd = {n: (k, kinds[n]) for n, k in df.dtypes if k in spark_kinds and kinds[n] not in spark_kinds[k] and kinds[n].isupper()}
