@@ -208,3 +208,18 @@ def import_graph(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     link = lambda a, x, b, y, t: d.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("source"), F.concat(F.lit(b), F.col(y).cast("string")).alias("target"), F.lit(t).alias("type")).distinct()
     return link("export:", "source", "file:", "lang", "part_of").unionByName(link("doc:", "doc_id", "export:", "source", "derived_from"))
+
+
+@query(
+    "closure_by_batches",
+    """WITH RECURSIVE f AS (SELECT p_partkey AS s, p_partkey // 3 AS t FROM part WHERE p_partkey > 0), c(source, target) AS (SELECT s, t FROM f UNION SELECT source, t FROM c JOIN f ON target = s)
+ SELECT source, target, 'part_of' AS type FROM c UNION ALL SELECT target, source, 'has_part' FROM c""",
+)
+def closure_by_batches(spark, sf_dir):
+    """A hierarchy of parts that arrives in three batches, in no order of levels; the twin closes it at once."""
+    facts = table(spark, sf_dir, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("source"), F.expr("p_partkey div 3").alias("target"), F.lit("part_of").alias("type"))
+    registry = spark.createDataFrame([("part_of", "has_part", False, True)], "type string, inverse string, symmetric boolean, transitive boolean")
+    now = facts.limit(0)
+    for k in range(3):
+        now = G.extended_closure(now, G.stated_facts(facts.where(F.col("source") % 3 == k), registry))
+    return now

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tidewater.functions import scalars as S
 from tidewater.operators import heavy as H
 from tidewater.operators import reports as P
+from tidewater.operators import semantic as M
+from tidewater.operators import similar as L
 from tidewater.operators import sketches as K
 from tidewater.plans.registry import query, table
 
@@ -140,3 +142,51 @@ def json_subtrees(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     nested = F.to_json(F.struct(F.struct("event_type", "props").alias("what"), F.col("user_id")))
     return P.repeated_subtrees(e.select("event_id", nested.alias("json")), "event_id", "json", least_bytes=20)
+
+
+_COUNTS = r"""c AS (SELECT conv_id AS id, unnest(regexp_extract_all(lower(text), '\p{N}*\p{L}[\p{L}\p{N}+#]*')) AS term FROM conversations), n AS (SELECT id, term, count(*) AS n FROM c GROUP BY 1, 2)"""
+
+
+def _conversation_terms(spark, sf_dir):
+    terms = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("id"), F.explode(S.word_tokens(F.col("text"))).alias("term"))
+    return terms.groupBy("id", "term").agg(F.count("*").alias("n"))
+
+
+@query(
+    "term_links",
+    f"""WITH {_COUNTS}, k AS (SELECT count(DISTINCT id) AS units FROM n), d AS (SELECT term, count(*) AS df FROM n GROUP BY 1 HAVING df >= 2 AND df <= CASE WHEN (SELECT units FROM k) > 2 THEN greatest(1, (SELECT units FROM k) // 2) ELSE (SELECT units FROM k) END),
+ r AS (SELECT id, term, round(n * ln(1 + (SELECT units FROM k) / df), 9) AS raw FROM n JOIN d USING (term)),
+ v AS (SELECT id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)) AS w FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY raw DESC, term) <= 8),
+ l AS (SELECT id, list((term, round(w, 9)) ORDER BY term) AS l FROM v GROUP BY 1), m AS (SELECT id, min(id) OVER (PARTITION BY l) AS class, count(*) OVER (PARTITION BY l) AS copies FROM l)
+ SELECT x.id AS a, y.id AS b, round(sum(x.w * y.w), 6) AS score FROM v x JOIN v y USING (term) JOIN m p ON p.id = x.id AND p.class = x.id JOIN m q ON q.id = y.id AND q.class = y.id WHERE x.id < y.id OR (x.id = y.id AND p.copies > 1) GROUP BY 1, 2 HAVING round(sum(x.w * y.w), 6) >= 0.15""",
+)
+def term_links(spark, sf_dir):
+    """Conversations whose heaviest terms are alike, a pair of classes each."""
+    return L.cosine_links(L.top_term_vectors(_conversation_terms(spark, sf_dir)), 0.15, scaled=True)[0]
+
+
+@query("term_clusters")
+def term_clusters(spark, sf_dir):
+    """Clusters of conversations by label propagation over their links; the tests hold them against a plain version."""
+    return L.term_clusters(_conversation_terms(spark, sf_dir))
+
+
+@query(
+    "centroid_scores",
+    f"""WITH {_TERMS}, c AS (SELECT doc_id AS id, term, count(*) AS tf FROM t GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, term) <= 20),
+ g AS (SELECT id, feature, sum(tf) AS tf FROM (SELECT id, unnest(CASE WHEN length(term) <= 2 THEN ['_' || term || '_'] ELSE list_transform(range(1, length(term) + 0), lambda i: ('_' || term || '_')[i:i + 3]) END) AS feature, tf FROM c) GROUP BY 1, 2),
+ f AS (SELECT id, 'word' AS channel, term AS feature, tf FROM c UNION ALL SELECT id, 'gram', feature, tf FROM g),
+ d AS (SELECT channel, feature, count(*) AS df FROM f GROUP BY 1, 2), k AS (SELECT count(DISTINCT id) AS n FROM c),
+ r AS (SELECT id, channel, feature, (1 + ln(tf)) * (ln((1 + (SELECT n FROM k)) / (1 + df)) + 1) AS w FROM f JOIN d USING (channel, feature)),
+ v AS (SELECT id, channel, feature, w / sqrt(sum(w * w) OVER (PARTITION BY id, channel)) AS w FROM r),
+ p AS (SELECT source, channel, feature, sum(w) AS p FROM v JOIN documents ON doc_id = id GROUP BY 1, 2, 3),
+ o AS (SELECT id, source, channel, feature, p - coalesce(v.w, 0) AS p, v.w FROM (SELECT DISTINCT id, source FROM v JOIN documents ON doc_id = id) JOIN p USING (source) LEFT JOIN v USING (id, channel, feature)),
+ s AS (SELECT id, channel, CASE WHEN sum(p * p) <= 1e-9 THEN 0 ELSE greatest(0, sum(p * w) / sqrt(sum(p * p))) END AS c FROM o GROUP BY 1, 2)
+ SELECT id, round(coalesce(max(c) FILTER (channel = 'word'), 0), 6) AS word, round(coalesce(max(c) FILTER (channel = 'gram'), 0), 6) AS gram FROM s GROUP BY 1""",
+)
+def centroid_scores(spark, sf_dir):
+    """Documents against what is left of their source without them; the twin sums each rest anew."""
+    terms = K.top_terms(_terms(spark, sf_dir), "doc_id", 20).select(F.col("doc_id").alias("id"), "term", "tf")
+    own = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("group"), F.lit(1.0).alias("weight"))
+    scores = M.group_scores(M.unit_vectors(terms), own)
+    return scores.join(own, ["id", "group"], "left_semi").select("id", "word", "gram")
