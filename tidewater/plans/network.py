@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewater.operators import graph as G
+from tidewater.operators import patterns as X
 from tidewater.operators import trees as T
 from tidewater.plans.registry import query, table
 
@@ -223,3 +224,16 @@ def closure_by_batches(spark, sf_dir):
     for k in range(3):
         now = G.extended_closure(now, G.stated_facts(facts.where(F.col("source") % 3 == k), registry))
     return now
+
+
+@query("recurring_patterns")
+def recurring_patterns(spark, sf_dir):
+    """Neighbourhoods of radius two among nations, regions and suppliers that recur; the tests hold them against permutations."""
+    s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
+    name = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    node = lambda df, kind, c, label, owner: df.select(name(kind, c).alias("node"), label.alias("label"), owner.cast("string").alias("owner"))
+    rich = F.when(F.col("s_acctbal") > 5000, "large").otherwise("small")
+    nodes = node(s, "s", "s_suppkey", rich, F.col("s_nationkey")).unionByName(node(n, "n", "n_nationkey", F.lit("nation"), F.col("n_regionkey"))).unionByName(node(table(spark, sf_dir, "region"), "r", "r_regionkey", F.lit("region"), F.col("r_regionkey")))
+    link = lambda df, a, ka, b, kb, t: df.select(name(a, ka).alias("source"), name(b, kb).alias("target"), F.lit(t).alias("type"))
+    links = link(s, "s", "s_suppkey", "n", "s_nationkey", "lives_in").unionByName(link(n, "n", "n_nationkey", "r", "n_regionkey", "part_of"))
+    return X.recurring(links, nodes, 2, most_nodes=16, group="owner")
