@@ -146,31 +146,41 @@ def token_sets(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
     return docs.select(id_col, F.size(grams).alias("size"), F.explode(grams).alias("gram"))
 
 
-def jaccard_pairs(grams: DataFrame, id_col: str, least: float) -> DataFrame:
-    """All pairs of sets of similarity ``least`` (above 0) or more, whatever the grams' frequencies.
+def jaccard_classes(grams: DataFrame, id_col: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(links, members) of sets in long form (id, gram): links (a, b, score) of classes a < b of similarity ``least`` (above 0) or more,
+    whatever the grams' frequencies, and (id, class) of every id. Equal sets are one class, named by its smallest id.
 
-    Equal sets are one class. Classes meet by prefix filtering: with grams in one order, rarest first, two similar sets share
-    one of the first n - ceil(least n) + 1 grams of each; sizes and places of the shared gram rule out most of the rest.
-    Rows without an id are in no pair.
+    Classes meet by prefix filtering: with grams in one order, rarest first, two similar sets share one of the first
+    n - ceil(least n) + 1 grams of each; sizes and places of the shared gram rule out most of the rest. Rows without an id are in
+    no class.
     """
     need = lambda n: F.ceil(n - 1e-9)
     df = grams.groupBy("gram").agg(F.count("*").alias("df"))
     ordered = grams.where(F.col(id_col).isNotNull()).join(df, "gram").groupBy(F.col(id_col).alias("id")).agg(F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("l"))
     sets = materialize(ordered.select("id", F.transform("l", lambda x: x["gram"]).alias("set")))
-    classes = materialize(sets.groupBy("set").agg(F.min("id").alias("class"), F.count("*").alias("copies")).withColumn("n", F.size("set")))
+    classes = materialize(sets.groupBy("set").agg(F.min("id").alias("class")).withColumn("n", F.size("set")))
     n = F.col("n")
-    prefix = classes.select("class", "n", F.posexplode(F.slice("set", F.lit(1), (n - need(n * least) + 1).cast("int"))).alias("at", "gram"))
+    prefix = materialize(classes.select("class", "n", F.posexplode(F.slice("set", F.lit(1), (n - need(n * least) + 1).cast("int"))).alias("at", "gram")))
     a, b = (prefix.select("gram", F.col("class").alias(x), F.col("n").alias(f"n{x}"), (F.col("n") - F.col("at")).alias(f"left{x}")) for x in "ab")
     fits = F.least("lefta", "leftb") >= need((F.col("na") + F.col("nb")) * (least / (1 + least)))
-    candidates = a.join(b, "gram").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
+    met = a.join(b, (a["gram"] == b["gram"]) & (F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     one, two = (classes.select(F.col("class").alias(x), F.col("set").alias(f"set{x}")) for x in "ab")
     shared = F.size(F.array_intersect("seta", "setb"))
     score = shared / (F.size("seta") + F.size("setb") - shared)
-    similar = candidates.join(one, "a").join(two, "b").select(F.col("a").alias("ca"), F.col("b").alias("cb"), score.alias("score")).where(F.col("score") >= least)
+    links = met.join(one, "a").join(two, "b").select("a", "b", score.alias("score")).where(F.col("score") >= least)
+    return links, sets.join(classes.select("set", "class"), "set").select("id", "class")
+
+
+def jaccard_pairs(grams: DataFrame, id_col: str, least: float) -> DataFrame:
+    """All pairs of sets of similarity ``least`` or more, copies multiplied out: for tables whose copies are known to be few. See
+    :func:`jaccard_classes` for the others."""
+    links, members = jaccard_classes(grams, id_col, least)
+    members = materialize(members)
     if least <= 1:
-        similar = similar.unionByName(classes.where("copies > 1").select(F.col("class").alias("ca"), F.col("class").alias("cb"), F.lit(1.0).alias("score")))
-    member = sets.join(classes.select("set", "class"), "set").select("id", "class")
-    x, y = (member.select(F.col("class").alias(f"c{k}"), F.col("id").alias(k)) for k in "ab")
+        several = members.groupBy("class").agg(F.count("*").alias("n")).where("n > 1")
+        links = links.unionByName(several.select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("score")))
+    similar = links.select(F.col("a").alias("ca"), F.col("b").alias("cb"), "score")
+    x, y = (members.select(F.col("class").alias(f"c{k}"), F.col("id").alias(k)) for k in "ab")
     pairs = similar.join(x, "ca").join(y, "cb").where((F.col("ca") != F.col("cb")) | (F.col("a") < F.col("b")))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round("score", 6).alias("jaccard"))
 

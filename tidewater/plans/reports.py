@@ -257,12 +257,17 @@ def blob_store(spark, sf_dir):
     "near_dup_jaccard",
     """WITH w AS (SELECT p_partkey AS id, string_split(lower(trim(p_name || ' ' || p_type || ' ' || p_brand || ' size ' || p_size)), ' ') AS w FROM part),
  g AS (SELECT id, list_distinct(list_transform(range(1, greatest(len(w) - 1, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 1), ' '))) AS g FROM w), x AS (SELECT id, unnest(g) AS gram FROM g),
- df AS (SELECT gram FROM x GROUP BY 1 HAVING count(*) BETWEEN 2 AND 60), c AS (SELECT DISTINCT a.id AS a, b.id AS b FROM x a JOIN x b USING (gram) SEMI JOIN df USING (gram) WHERE a.id < b.id)
- SELECT a, b, round(len(list_intersect(ga.g, gb.g)) / (len(ga.g) + len(gb.g) - len(list_intersect(ga.g, gb.g))), 6) AS jaccard FROM c JOIN g ga ON ga.id = a JOIN g gb ON gb.id = b WHERE len(list_intersect(ga.g, gb.g)) / (len(ga.g) + len(gb.g) - len(list_intersect(ga.g, gb.g))) >= 0.6""",
+ m AS (SELECT id, g, min(id) OVER (PARTITION BY list_sort(g)) AS class FROM g), r AS (SELECT id, g FROM m WHERE id = class), y AS (SELECT id, unnest(g) AS gram FROM r),
+ c AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM y a JOIN y b USING (gram) WHERE a.id < b.id GROUP BY 1, 2)
+ SELECT 'link' AS kind, a, b, round(k / (len(ga.g) + len(gb.g) - k), 6) AS jaccard FROM c JOIN r ga ON ga.id = a JOIN r gb ON gb.id = b WHERE k / (len(ga.g) + len(gb.g) - k) >= 0.6
+ UNION ALL SELECT 'member', class, id, 1 FROM m WHERE id <> class""",
 )
 def near_dup_jaccard(spark, sf_dir):
+    """Links between classes of equal sets, and the classes' other members."""
     p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type", "p_brand", F.lit("size"), F.col("p_size").cast("string")).alias("t"))
-    return R.jaccard_pairs(R.token_sets(p, "id", "t", 2), "id", 0.6)
+    links, members = R.jaccard_classes(R.token_sets(p, "id", "t", 2), "id", 0.6)
+    rest = members.where("id <> class").select(F.lit("member").alias("kind"), F.col("class").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    return links.select(F.lit("link").alias("kind"), "a", "b", F.round("score", 6).alias("jaccard")).unionByName(rest)
 
 
 @query(
