@@ -181,9 +181,9 @@ def typed(principle: DataFrame, thresholds: list[tuple[str, Column]], other: str
     return principle.withColumn("type", kind)
 
 
-def attribute(units: DataFrame, seeds: DataFrame, least: float, margin: float, most: int = 10) -> DataFrame:
+def attribute(units: DataFrame, seeds: DataFrame, least: float, margin: float, most: int = 100) -> DataFrame:
     """(id, project, score, round): units (id, term, w) that join a project: in each round profiles are the sums of the members'
-    terms, and units whose best cosine is at least ``least`` and ``margin`` above the second join; until none does."""
+    terms, and units whose best cosine is at least ``least`` and ``margin`` above the second join; until none does. Raises if some still do after ``most`` rounds."""
     norm = units.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
     unit = materialize(units.join(norm, "id").select("id", "term", (F.col("w") / F.col("_n")).alias("w")))
     members = [materialize(seeds.select("id", "project", F.lit(1.0).alias("score"), F.lit(0).alias("round")))]
@@ -197,9 +197,11 @@ def attribute(units: DataFrame, seeds: DataFrame, least: float, margin: float, m
         ranked = scored.withColumn("_r", F.row_number().over(order)).withColumn("_second", F.coalesce(F.lead("score").over(order), F.lit(0.0)))
         new = materialize(ranked.where((F.col("_r") == 1) & (F.col("score") >= least) & (F.col("score") - F.col("_second") >= margin)).select("id", "project", "score", F.lit(k).alias("round")))
         if new.isEmpty():
-            break
+            return reduce(DataFrame.unionByName, members)
         members.append(new)
-    return reduce(DataFrame.unionByName, members)
+        if len(members) > 6:  # few tables in a plan, however many rounds there are
+            members = [materialize(reduce(DataFrame.unionByName, members))]
+    raise RuntimeError(f"units still join after {most} rounds")
 
 
 def reliability(runs: DataFrame, operator: str, held: str, at: str, until: Column) -> DataFrame:

@@ -89,10 +89,10 @@ def correction_proposals(spark, sf_dir):
     return Q.proposals(terms, "doc_id", "verdict", 3)
 
 
-@query("band_moves", f"WITH {_VERDICTS} SELECT min(n_chars) FILTER (verdict = 'include') AS include_from, max(n_chars) FILTER (verdict = 'exclude') AS exclude_to FROM v JOIN documents USING (doc_id) WHERE n_chars BETWEEN 500 AND 5000")
+@query("band_moves", f"WITH {_VERDICTS} SELECT min(n_chars) FILTER (verdict = 'include') AS include_from, max(n_chars) FILTER (verdict = 'exclude') AS exclude_to FROM v JOIN documents USING (doc_id)")
 def band_moves(spark, sf_dir):
     v = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "include").otherwise("exclude").alias("verdict"))
-    return Q.band_moves(v.join(_docs(spark, sf_dir), "doc_id").where("n_chars between 500 and 5000"), "n_chars", "verdict")
+    return Q.band_moves(v.join(_docs(spark, sf_dir), "doc_id"), "n_chars", "verdict")
 
 
 @query(

@@ -191,11 +191,11 @@ def dangling_references(spark, sf_dir):
 
 @query(
     "transfer_pairs",
-    """WITH r AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_quantity > 40), x AS (SELECT a.s AS a, b.s AS b, count(*) AS roles FROM r a JOIN r b ON a.p = b.p AND a.s < b.s GROUP BY ALL HAVING count(*) >= 2)
+    """WITH r AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), x AS (SELECT a.s AS a, b.s AS b, count(*) AS roles FROM r a JOIN r b ON a.p = b.p AND a.s < b.s GROUP BY ALL HAVING count(*) >= 2)
  SELECT x.a, x.b, roles, count(t.p) AS transferable FROM x LEFT JOIN r t ON t.s = x.a AND NOT EXISTS (SELECT 1 FROM r f WHERE f.s = x.b AND f.p = t.p) GROUP BY ALL""",
 )
 def transfer_pairs(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
     pairs = r.withColumnRenamed("s", "a").join(r.withColumnRenamed("s", "b"), "p").where("a < b").groupBy("a", "b").agg(F.count("*").alias("roles")).where("roles >= 2")
     filled = r.groupBy("s").agg(F.count("*").alias("n"))
     return pairs.join(filled.withColumnRenamed("s", "a"), "a").select("a", "b", "roles", (F.col("n") - F.col("roles")).alias("transferable"))

@@ -304,8 +304,8 @@ def working_copy(spark, sf_dir):
     return bundle("region", "r_regionkey").unionByName(bundle("nation", "n_nationkey")).select("name", "id", F.md5("row").alias("digest"))
 
 
-@query("mention_keys", "SELECT doc_id, regexp_matches(lower(text), 'license') AS mentioned FROM documents WHERE lang = 'en'")
+@query("mention_keys", "SELECT doc_id, regexp_matches(lower(text), 'license') AS mentioned FROM documents")
 def mention_keys(spark, sf_dir):
     """Documents whose match keys hold one of a project's keys."""
     keys = S.word_tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.exists(keys, lambda t: F.contains(t, F.lit("license"))).alias("mentioned"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.exists(keys, lambda t: F.contains(t, F.lit("license"))).alias("mentioned"))

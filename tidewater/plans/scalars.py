@@ -65,12 +65,12 @@ def _stem_sql() -> str:
 
 @query(
     "stem_table",
-    f"""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{N}}*\\p{{L}}[\\p{{L}}\\p{{N}}+#]*')) AS w FROM documents WHERE lang = 'en'),
+    f"""WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '\\p{{N}}*\\p{{L}}[\\p{{L}}\\p{{N}}+#]*')) AS w FROM documents),
  x AS (SELECT w, CASE WHEN w LIKE '%ies' AND length(w) >= 5 THEN left(w, -3) || 'y' WHEN w LIKE '%sses' AND length(w) >= 5 THEN left(w, -4) || 'ss' ELSE w END AS r FROM v)
  SELECT w AS word, {_stem_sql()} AS stem FROM x""",
 )
 def stem_table(spark, sf_dir):
-    words = _docs(spark, sf_dir).where("lang = 'en'").select(F.explode(S.word_tokens(F.col("text"))).alias("word")).distinct()
+    words = _docs(spark, sf_dir).select(F.explode(S.word_tokens(F.col("text"))).alias("word")).distinct()
     return words.select("word", S.stem(F.col("word")).alias("stem"))
 
 
@@ -142,7 +142,7 @@ def secret_fields(spark, sf_dir):
 
 @query(
     "encoded_data",
-    r"""WITH b AS (SELECT doc_id, base64(encode(left(regexp_replace(text, '[^a-zA-Z0-9 ]', '', 'g'), 60))) AS b, sha256(text) AS h FROM documents), t AS (SELECT doc_id, 'see data:text/plain;base64,' || b || ' and ' || h || ' or ' || b AS text FROM b),
+    r"""WITH b AS (SELECT doc_id, base64(encode(regexp_replace(text, '[^a-zA-Z0-9 ]', '', 'g'))) AS b, sha256(text) AS h FROM documents), t AS (SELECT doc_id, 'see data:text/plain;base64,' || b || ' and ' || h || ' or ' || b AS text FROM b),
  r AS (SELECT doc_id, text, regexp_replace(text, 'data:[a-zA-Z0-9.+/-]*;base64,[A-Za-z0-9+/]+={0,2}', ' ', 'g') AS rest FROM t),
  u AS (SELECT doc_id, 'data_uri' AS kind, length(split_part(s, ',', -1)) AS chars FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'data:[a-zA-Z0-9.+/-]*;base64,[A-Za-z0-9+/]+={0,2}')) AS s FROM r)
   UNION ALL SELECT doc_id, 'base64', length(s) FROM (SELECT doc_id, unnest(regexp_extract_all(rest, '[A-Za-z0-9+/]{40,}={0,2}')) AS s FROM r) WHERE regexp_matches(s, '[0-9]') AND regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]')
@@ -150,7 +150,7 @@ def secret_fields(spark, sf_dir):
  SELECT doc_id, kind, count(*) AS n, sum(chars)::BIGINT AS chars FROM u GROUP BY ALL""",
 )
 def encoded_data(spark, sf_dir):
-    plain = F.substring(F.regexp_replace("text", "[^a-zA-Z0-9 ]", ""), 1, 60)
+    plain = F.regexp_replace("text", "[^a-zA-Z0-9 ]", "")
     code = F.replace(F.base64(F.encode(plain, "utf-8")), F.lit("\r\n"), F.lit(""))
     text = F.concat(F.lit("see data:text/plain;base64,"), code, F.lit(" and "), F.sha2(F.col("text").cast("binary"), 256), F.lit(" or "), code)
     found = _docs(spark, sf_dir).select("doc_id", text.alias("t")).select("doc_id", F.explode(S.encoded_spans(F.col("t"))).alias("s"))

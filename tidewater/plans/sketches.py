@@ -56,15 +56,11 @@ def bloom_members(spark, sf_dir):
     return terms.join(K.bloom(terms, "doc_id"), "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(found).alias("found"))
 
 
-def _signed(spark, sf_dir):
-    d = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda m: m["text"]), " ").alias("text"))
-    return d.select("conv_id", S.word_tokens(F.col("text")).alias("t")).select("conv_id", K.minhash(F.col("t")).alias("sig"))
-
-
 @query("continuation_links")
 def continuation_links(spark, sf_dir):
-    """Band candidates of conversations, verified on signatures; the tests hold them against all pairs."""
-    return K.band_links(_signed(spark, sf_dir), "conv_id", "sig", 2, 0.5)
+    """Band candidates of documents, verified on signatures; the tests hold them against all pairs."""
+    d = table(spark, sf_dir, "documents").select("doc_id", K.minhash(S.word_tokens(F.col("text"))).alias("sig"))
+    return K.band_links(d, "doc_id", "sig", 4, 0.5)
 
 
 @query(

@@ -73,28 +73,31 @@ def import_policies(spark, sf_dir):
 
 @query(
     "counter_evidence",
-    """WITH a AS (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 50), c AS (SELECT l_suppkey AS s, l_orderkey AS o FROM lineitem WHERE l_returnflag = 'A' AND l_discount >= 0.1)
+    """WITH a AS (SELECT DISTINCT l_suppkey AS s FROM lineitem WHERE l_returnflag = 'R'), c AS (SELECT l_suppkey AS s, l_orderkey AS o FROM lineitem WHERE l_returnflag = 'A' AND l_discount >= 0.1)
  SELECT s AS claim, o AS counter FROM a JOIN c USING (s) GROUP BY ALL""",
 )
 def counter_evidence(spark, sf_dir):
     """Anchors and exactly one hop of recorded counter links."""
     li = _t(spark, sf_dir, "lineitem")
-    anchors = li.where("l_returnflag = 'R' and l_quantity >= 50").select(F.col("l_suppkey").alias("claim")).distinct()
+    anchors = li.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("claim")).distinct()
     counters = li.where("l_returnflag = 'A' and l_discount >= 0.1").select(F.col("l_suppkey").alias("claim"), F.col("l_orderkey").alias("counter")).distinct()
     return anchors.join(counters, "claim")
 
 
 @query(
     "evidence_overlap",
-    """WITH o AS (SELECT c_nationkey AS k, list_sort(list_distinct(list(c_mktsegment))) AS o FROM customer WHERE c_acctbal > 9500 GROUP BY 1)
- SELECT a.k AS a, b.k AS b, len(list_intersect(a.o, b.o)) AS shared, array_to_string(list_sort(list_filter(a.o, lambda x: NOT list_contains(b.o, x))), ',') AS only_a FROM o a JOIN o b ON a.k < b.k""",
+    """WITH o AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment || floor(c_acctbal / 50)::BIGINT AS o FROM customer), n AS (SELECT k, count(*) AS n FROM o GROUP BY 1),
+ s AS (SELECT a.k AS a, b.k AS b, count(*) AS shared FROM o a JOIN o b USING (o) WHERE a.k < b.k GROUP BY 1, 2)
+ SELECT s.*, x.n - shared AS only_a, y.n - shared AS only_b FROM s JOIN n x ON x.k = a JOIN n y ON y.k = b""",
 )
 def evidence_overlap(spark, sf_dir):
-    """Shared and separate observations of each pair of claims; 25 claims, so pairs are listed."""
-    o = _t(spark, sf_dir, "customer").where("c_acctbal > 9500").groupBy(F.col("c_nationkey").alias("k")).agg(F.collect_set("c_mktsegment").alias("o"))
-    a, b = o.select(F.col("k").alias("a"), F.col("o").alias("x")), o.select(F.col("k").alias("b"), F.col("o").alias("y"))
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("shared"), F.array_join(F.sort_array(F.array_except("x", "y")), ",").alias("only_a"))
+    """Shared and separate observations of claims that share any, through an index of observations."""
+    seen = F.concat("c_mktsegment", F.floor(F.col("c_acctbal") / 50).cast("string"))
+    o = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), seen.alias("o")).distinct()
+    n = o.groupBy("k").agg(F.count("*").alias("n"))
+    shared = o.withColumnRenamed("k", "a").join(o.withColumnRenamed("k", "b"), "o").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    x, y = (n.select(F.col("k").alias(c), F.col("n").alias(f"n{c}")) for c in "ab")
+    return shared.join(x, "a").join(y, "b").select("a", "b", "shared", (F.col("na") - F.col("shared")).alias("only_a"), (F.col("nb") - F.col("shared")).alias("only_b"))
 
 
 @query(
@@ -115,12 +118,12 @@ def status_history(spark, sf_dir):
 
 @query(
     "principle_support",
-    """WITH s AS (SELECT p_type AS principle, l_suppkey AS unit, strftime(l_shipdate, '%Y-%m') AS day, max(l_discount) AS c FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49 GROUP BY ALL)
+    """WITH s AS (SELECT p_type AS principle, l_suppkey AS unit, strftime(l_shipdate, '%Y-%m') AS day, max(l_discount) AS c FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
  SELECT principle, count(DISTINCT unit) AS units, count(DISTINCT day) AS days, round(1 - (1 - avg(c)) * pow(0.7, least(count(DISTINCT unit), 40)), 6) AS confidence FROM s GROUP BY 1 HAVING count(DISTINCT unit) >= 3 AND count(DISTINCT day) >= 2""",
 )
 def principle_support(spark, sf_dir):
     """Statements with support from enough units and dates; confidence rises with each unit."""
-    j = _t(spark, sf_dir, "lineitem").where("l_quantity > 49").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    j = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     s = j.groupBy(F.col("p_type").alias("principle"), F.col("l_suppkey").alias("unit"), F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy-MM").alias("day")).agg(F.max("l_discount").alias("c"))
     g = s.groupBy("principle").agg(F.count_distinct("unit").alias("units"), F.count_distinct("day").alias("days"), F.avg("c").alias("c")).where("units >= 3 and days >= 2")
     return g.select("principle", "units", "days", F.round(1 - (1 - F.col("c")) * F.pow(F.lit(0.7), F.least("units", F.lit(40))), 6).alias("confidence"))
@@ -186,7 +189,7 @@ def budget_skip(spark, sf_dir):
     return U.within_skipping(costs, "conv_id", F.desc("turn"), "cost", 400).select("conv_id", "turn", "cost")
 
 
-@query("stable_claim_ids", "SELECT l_orderkey, l_linenumber, 'clm-' || substr(sha256(concat_ws(chr(31), l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_returnflag)), 1, 16) AS claim_id FROM lineitem WHERE l_quantity > 48")
+@query("stable_claim_ids", "SELECT l_orderkey, l_linenumber, 'clm-' || substr(sha256(concat_ws(chr(31), l_orderkey::VARCHAR, l_linenumber::VARCHAR, l_returnflag)), 1, 16) AS claim_id FROM lineitem")
 def stable_claim_ids(spark, sf_dir):
-    li = _t(spark, sf_dir, "lineitem").where("l_quantity > 48")
+    li = _t(spark, sf_dir, "lineitem")
     return li.select("l_orderkey", "l_linenumber", A.stable_id("clm-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), "l_returnflag").alias("claim_id"))
