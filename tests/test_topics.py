@@ -7,9 +7,9 @@ import pytest
 
 from tidewater.operators import topics as T
 
-ALIASES = [T.Alias("ada", "Ada"), T.Alias("loom", "the loom"), T.Alias("java", "java", requires=("code", "class"), excludes=("island",), least=1), T.Alias("ada", "Lovelace", least=0)]
+ALIASES = [T.Alias("ada", "Ada"), T.Alias("mill", "the mill"), T.Alias("java", "java", requires=("code", "class"), excludes=("island",), least=1), T.Alias("ada", "Lovelace", least=0)]
 POLICY = T.Policy(resets=("new topic", "anyway"), returns=("back to", "as for"), continuations=("it", "and then"), stops=("the", "of"), window=4, shared_terms=1, novel_terms=3, unanchored_spans=2)
-BITS = ["Ada wrote code", "the loom weaves cloth", "java code runs", "java island coffee", "java beans", "anyway", "back to Ada", "as for the loom", "it weaves", "and then cloth", "some other words here", "cloth", "Lovelace", "code class", "née", "x", "of the"]
+BITS = ["Ada wrote code", "the mill weaves cloth", "java code runs", "java island coffee", "java beans", "anyway", "back to Ada", "as for the mill", "it weaves", "and then cloth", "some other words here", "cloth", "Lovelace", "code class", "née", "x", "of the"]
 GLUE = [". ", ", ", "! ", "\n", " ", "; ", " \n\n ", ": "]
 
 
