@@ -55,6 +55,34 @@ def test_line_dedup(spark, docs, least):
         assert r.text == want[r.doc_id], (least, r.doc_id)
 
 
+def test_matches_come_from_joined_and_extended_positions(spark, docs, monkeypatch):
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    deleted = lambda: {r.doc_id: r.lines_deleted for r in D.dedup_lines(df, 6).collect()}
+    whole = deleted()
+    with monkeypatch.context() as m:  # extension from first positions alone: nothing too much; lines of a pool of 14 are also shared elsewhere
+        m.setattr(D, "beyond", lambda window: window.where("false").select("d", "t", "first", "last"))
+        extended = deleted()
+    assert all(extended[k] <= whole[k] for k in whole) and 0 < sum(extended.values()) < sum(whole.values())
+    monkeypatch.setattr(D, "joined_positions", lambda position: position.where("false"))
+    assert not any(deleted().values())
+
+
+def test_a_hot_line_in_many_contexts_and_a_long_text(spark):
+    # the same line is the least of its windows in every text, with other lines around it: most repeats have no copy at the first one
+    rng = random.Random(9)
+    hot = "all rights reserved"
+    texts = {}
+    for k in range(400):
+        pair = k % 130
+        texts[k] = f"left {pair} a\n{hot}\nright {pair} b" if k % 2 else f"own {k} a\n{hot}\nonly {k} b"
+    texts[900] = "\n".join(f"line {rng.randrange(3000)} of {k % 7}" for k in range(6000))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    want = brute_dedup({k: t for k, t in texts.items() if k < 900}, 9)
+    rows = {r.doc_id: r for r in D.dedup_lines(df, 9).collect()}
+    assert {k: rows[k].text for k in want} == want
+    assert rows[900].lines_total == 6000
+
+
 def test_line_dedup_odd_rows(spark):
     text = "one two three\nfour five six"
     df = spark.createDataFrame([(1, text), (1, text), (None, text), (2, "q\n" + text)], "doc_id long, text string")

@@ -4,9 +4,11 @@ The unit is the line that holds a word. A window is the shortest run of consecut
 ``min_words`` words; a line that has them alone is a window by itself. Of each window the smallest line hash is selected;
 the positions so selected are the document's fingerprints, fewer than its lines, and two documents that share a run of at
 least ``min_words`` words are guaranteed to share one. Positions are joined on the fingerprint alone; one that occurs only
-once ends there. Around the others the match is extended to both sides, over the windows that the position is the least
-of, grown to the right from each line and to the left from each line, and verified on all their line hashes: each window
-leads to its first occurrence, so no pairs of occurrences are made. Overlapping windows of both kinds cover exactly the
+once ends there. The others take the lines around them, and each is matched with the first position of its fingerprint:
+the match is extended to the left and to the right, line hash by line hash, as far as both agree, and every window inside
+it is a later repeat. Windows that reach beyond the match have no copy at the first position, but may have one at another
+position of that fingerprint; these few are compared with each other by all their line hashes. So no pairs of occurrences
+are made, and none is lost. Windows grown to the right from each line and to the left from each line cover exactly the
 lines of every shared run. Of a run the first occurrence, by document id and line, stays; later ones are deleted.
 """
 
@@ -16,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.text import let
+from tidewater.workspace import written
 
 MIN_WORDS = 50
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,15 +40,14 @@ def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def positions(line: DataFrame, min_words: int) -> DataFrame:
-    """Selected positions: fingerprint (h, g) of the line, its document (d, t) and number o, and the windows it is the least
-    of: content hashes a and b, first and last line, each as (o, p)."""
+    """Selected positions: fingerprint (h, g) of the line, its document (d, t) and number o, and the first and last line,
+    each as (o, p), of the windows it is the least of."""
     right = Window.partitionBy("d", "t").orderBy("s").rangeBetween(0, min_words - 1)
     left = Window.partitionBy("d", "t").orderBy("e").rangeBetween(-(min_words - 1), 0)
 
     def reach(frame) -> Column:
         return F.struct(
             F.min(F.struct("h", "g", "o")).over(frame).alias("least"),
-            F.collect_list(F.struct("h", "g")).over(frame).alias("content"),
             F.min(F.struct("o", "p")).over(frame).alias("first"),
             F.max(F.struct("o", "p")).over(frame).alias("last"),
             F.min("s").over(frame).alias("s"),
@@ -61,9 +63,8 @@ def positions(line: DataFrame, min_words: int) -> DataFrame:
             F.struct((F.col("l.e") - F.col("l.s") - F.col("n") >= min_words).alias("new"), F.col("l").alias("r")),
         )).alias("w"),
     ).where(F.col("w.new") & (F.col("w.r.e") - F.col("w.r.s") >= min_words))
-    content = F.col("w.r.content")
-    window = F.struct(F.xxhash64(content).alias("a"), F.xxhash64(F.lit(7), content).alias("b"), F.col("w.r.first").alias("first"), F.col("w.r.last").alias("last"))
-    return found.groupBy("d", "t", F.col("w.r.least.o").alias("o")).agg(F.first("w.r.least.h").alias("h"), F.first("w.r.least.g").alias("g"), F.collect_list(window).alias("windows"))
+    windows = F.collect_list(F.struct(F.col("w.r.first").alias("first"), F.col("w.r.last").alias("last"))).alias("windows")
+    return found.groupBy("d", "t", F.col("w.r.least.o").alias("o")).agg(F.first("w.r.least.h").alias("h"), F.first("w.r.least.g").alias("g"), windows)
 
 
 def joined_positions(position: DataFrame) -> DataFrame:
@@ -73,12 +74,53 @@ def joined_positions(position: DataFrame) -> DataFrame:
     return position.join(repeated, ["h", "g"])
 
 
-def repeated_runs(position: DataFrame) -> DataFrame:
-    """Per document the disjoint runs of lines to delete, in order."""
-    window = joined_positions(position).select("d", "t", F.explode("windows").alias("w")).select("d", "t", "w.*")
+def with_context(position: DataFrame, line: DataFrame) -> DataFrame:
+    """Positions with the hashes of the lines before them (``before``, nearest first) and from them on (``after``), as far
+    as their windows reach. A document's lines meet its positions once, in one row each."""
+    own = position.groupBy("d", "t").agg(F.collect_list(F.struct("h", "g", "o", "windows")).alias("at"))
+    whole = line.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("o", "h", "g", "n"))).alias("own"))
+    reach = lambda x: F.struct(
+        x["h"].alias("h"), x["g"].alias("g"), x["o"].alias("o"), x["windows"].alias("windows"),
+        F.array_min(x["windows"]["first"]["o"]).alias("from"), F.array_max(x["windows"]["last"]["o"]).alias("to"),
+    )
+    each = own.join(whole, ["d", "t"]).select("d", "t", F.inline(let(F.col("own"), lambda lines: F.transform(F.transform("at", reach), lambda x: F.struct(
+        x["h"].alias("h"), x["g"].alias("g"), x["o"].alias("o"), x["windows"].alias("windows"),
+        F.transform(F.reverse(F.slice(lines, x["from"].cast("int"), (x["o"] - x["from"]).cast("int"))), lambda y: F.struct(y["h"], y["g"])).alias("before"),
+        F.transform(F.slice(lines, x["o"].cast("int"), (x["to"] - x["o"] + 1).cast("int")), lambda y: F.struct(y["h"], y["g"])).alias("after"),
+    )))))
+    return each
+
+
+def _agreeing(one: Column, two: Column) -> Column:
+    """How many lines from the start on agree."""
+    differs = F.array_position(F.zip_with(one, two, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differs == 0, F.size(one)).otherwise(differs - 1)
+
+
+def extended(position: DataFrame) -> DataFrame:
+    """Each position's windows, with whether the match with the first position of its fingerprint, extended both ways,
+    holds the window (``inside``). First positions themselves have no row."""
+    origin = position.groupBy("h", "g").agg(F.min(F.struct("d", "t", "o", "before", "after")).alias("origin"))
+    met = position.join(origin, ["h", "g"]).where(F.struct("d", "t", "o") != F.struct("origin.d", "origin.t", "origin.o"))
+    reach = met.withColumns({"left": _agreeing(F.col("before"), F.col("origin.before")), "right": _agreeing(F.col("after"), F.col("origin.after"))})
+    each = reach.select("h", "g", "d", "t", "o", "left", "right", "before", "after", F.explode("windows").alias("w"))
+    inside = (F.col("o") - F.col("w.first.o") <= F.col("left")) & (F.col("w.last.o") - F.col("o") < F.col("right"))
+    rest = F.when(~inside, F.struct(F.slice("before", F.lit(1), (F.col("o") - F.col("w.first.o")).cast("int")).alias("before"), F.slice("after", F.lit(1), (F.col("w.last.o") - F.col("o") + 1).cast("int")).alias("after")))
+    return each.select("h", "g", "d", "t", "w.first", "w.last", inside.alias("inside"), rest.alias("content"))
+
+
+def beyond(window: DataFrame) -> DataFrame:
+    """Later copies among the windows that no first position holds, by all their line hashes."""
+    rest = window.where("not inside").select("d", "t", "first", "last", F.xxhash64("content").alias("a"), F.xxhash64(F.lit(7), "content").alias("b"))
     here = F.struct("d", "t", "first", "last")
-    origin = window.groupBy("a", "b").agg(F.min(here).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = window.join(origin, ["a", "b"]).where(here != F.col("origin")).select("d", "t", "first", "last")  # (o, p) orders as o does
+    origin = rest.groupBy("a", "b").agg(F.min(here).alias("origin"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rest.join(origin, ["a", "b"]).where(here != F.col("origin")).select("d", "t", "first", "last")  # (o, p) orders as o does
+
+
+def repeated_runs(line: DataFrame, min_words: int) -> DataFrame:
+    """Per document the disjoint runs of lines to delete, in order."""
+    window = written(extended(with_context(joined_positions(positions(line, min_words)), line)), "extended-windows")
+    later = window.where("inside").select("d", "t", "first", "last").unionByName(beyond(window))
     order = Window.partitionBy("d", "t").orderBy("first", "last")
     reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("first.o") <= F.col("reached.o") + 1, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -94,7 +136,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     Very frequent lines are combined before they are shuffled; the join that takes a run to its first occurrence is one
     that adaptive execution splits. Columns called like the new ones, or d, t and runs, must be renamed first.
     """
-    runs = repeated_runs(positions(lines(docs, id_col, text_col), min_words))
+    runs = repeated_runs(lines(docs, id_col, text_col), min_words)
     clash = {"lines_total", "lines_deleted", "d", "t", "runs"} & set(docs.columns)
     if clash:
         raise ValueError(f"the input has columns named {sorted(clash)}")
