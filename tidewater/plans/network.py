@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewater.operators import addresses as A
 from tidewater.operators import graph as G
 from tidewater.operators import patterns as X
 from tidewater.operators import trees as T
@@ -62,6 +63,40 @@ def address_resolve(spark, sf_dir):
     return T.resolve(o, first.select("anchor"), steps, {"time": ("o_custkey", "o_orderdate")}, "o_orderkey")
 
 
+_PLACED = """o AS (SELECT 'o' || o_orderkey AS node, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, 'o' || o_orderkey) AS r FROM orders),
+ n AS (SELECT n_nationkey, lag(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS before FROM nation),
+ c AS (SELECT c_nationkey, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) = 1),
+ l AS (SELECT o_custkey, node FROM o QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY r DESC) = 1),
+ x AS (SELECT o.node AS anchor, o.r, l.node FROM o JOIN customer k ON k.c_custkey = o.o_custkey JOIN n ON n.n_nationkey = k.c_nationkey LEFT JOIN c ON c.c_nationkey = n.before LEFT JOIN l ON l.o_custkey = c.c_custkey)"""
+
+
+def _resolved(spark, sf_dir):
+    """From each order to the customer's previous one, then three levels: the nation before, its richest customer, the last order."""
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    own = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    place = lambda dim, seq, node, at, num, name=None: [F.lit(dim).alias("dim"), seq.alias("seq"), node.alias("node"), at.cast("long").alias("place"), num.alias("num"), (F.lit(None) if name is None else F.col(name)).cast("string").alias("name")]
+    order, customer, nation = own("o", "o_orderkey"), own("c", "o_custkey"), own("n", "c_nationkey")
+    at = F.unix_micros(F.col("o_orderdate").cast("timestamp"))
+    rows = (
+        o.select(*place("message", customer, order, at, F.col("o_totalprice")))
+        .unionByName(o.select(*place("program_version", customer, order, at, F.col("o_totalprice"))))
+        .unionByName(c.select(*place("program_version", nation, own("c", "c_custkey"), F.col("c_custkey"), F.col("c_acctbal"), "c_name")))
+        .unionByName(n.select(*place("program_version", own("r", "n_regionkey"), own("n", "n_nationkey"), F.col("n_nationkey"), F.lit(None).cast("double"), "n_name")))
+    )
+    return A.resolve(A.ranked(rows), o.select(order.alias("anchor")), A.parse("-1/program_version:-1.max.last"))
+
+
+@query("address_levels", f"WITH {_PLACED} SELECT anchor, node FROM x WHERE r > 1 AND node IS NOT NULL")
+def address_levels(spark, sf_dir):
+    return _resolved(spark, sf_dir)[0].select("anchor", "node")
+
+
+@query("address_advice", f"WITH {_PLACED} SELECT CASE WHEN r = 1 THEN 0 ELSE 1 END AS step, 'address_outside' AS code, count(*) AS anchors FROM x WHERE r = 1 OR node IS NULL GROUP BY 1")
+def address_advice(spark, sf_dir):
+    """How many orders each step of that address has an advisory for."""
+    return _resolved(spark, sf_dir)[1].groupBy("step", "code").agg(F.count("*").alias("anchors"))
+
+
 def _actions(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     gives = F.pmod(F.col("s_nationkey") + F.col("s_suppkey") % 4 + 1, F.lit(25))
