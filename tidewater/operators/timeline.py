@@ -126,12 +126,15 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: st
 
 def nearest(targets: DataFrame, nodes: DataFrame, keys: list[str], target: str, at: str, node: str) -> DataFrame:
     """For each target the node of the same keys whose number is nearest; ties go to the earlier number, then node."""
-    both = nodes.select(*keys, F.col(at).alias("_x"), F.lit(0).alias("_k"), F.col(node).alias("_n")).unionByName(targets.select(*keys, F.col(target).alias("_x"), F.lit(1).alias("_k"), F.lit(None).cast(dict(nodes.dtypes)[node]).alias("_n")).distinct())
+    # of nodes of one number only the first can be nearest
+    firsts = nodes.groupBy(*keys, at).agg(F.min(node).alias("_n"))
+    both = firsts.select(*keys, F.col(at).alias("_x"), F.lit(0).alias("_k"), "_n").unionByName(targets.select(*keys, F.col(target).alias("_x"), F.lit(1).alias("_k"), F.lit(None).cast(dict(nodes.dtypes)[node]).alias("_n")).distinct())
     here = F.when(F.col("_k") == 0, F.struct(F.col("_x").alias("x"), F.col("_n").alias("n")))
     back = Window.partitionBy(*keys).orderBy("_x", "_k", F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy("_x", F.desc("_k"), "_n").rowsBetween(0, Window.unboundedFollowing)
-    # the last node up to the target and the first from it on: two carried values instead of all pairs of a key
-    seen = both.withColumns({"_before": F.last(here, ignorenulls=True).over(back), "_after": F.first(here, ignorenulls=True).over(ahead)}).where("_k = 1")
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("_x"), "_k", F.desc("_n")).rowsBetween(Window.unboundedPreceding, 0)
+    # the last node up to the target and the first from it on: two carried values instead of all pairs of a key; both are
+    # carried from the frame's start, because Spark goes through a frame that ends at the key's end anew for each row
+    seen = both.withColumns({"_before": F.last(here, ignorenulls=True).over(back), "_after": F.last(here, ignorenulls=True).over(ahead)}).where("_k = 1")
     gap = lambda c: F.struct(F.abs(F.col(f"{c}.x") - F.col("_x")).alias("gap"), F.col(f"{c}.x").alias("x"), F.col(f"{c}.n").alias("n"))
     best = F.least(*[F.when(F.col(c).isNotNull(), gap(c)) for c in ("_before", "_after")])
     found = seen.withColumn("_b", best).where("_b is not null")
